@@ -301,7 +301,7 @@ define("TimeAdd")(lambda t, s: t + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(
 define("TimeSub")(lambda t, s: t - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), s))
 define("Epoch")(lambda t: F.unix_micros(t.cast("timestamp")) / 1e6)
 define("TimeDiffSeconds")(lambda a, b: (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 1e6)
-define("Date")(lambda *a: F.make_date(*[x.cast("int") for x in a]) if len(a) == 3 else a[0].cast("date"))
+define("Date", "ToDate")(lambda *a: F.make_date(*[x.cast("int") for x in a]) if len(a) == 3 else a[0].cast("date"))
 define("Datetime")(lambda *a: F.call_function("make_timestamp_ntz", *[x.cast("int") for x in a]) if len(a) == 6 else a[0].cast("timestamp_ntz"))
 
 
