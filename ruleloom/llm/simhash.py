@@ -150,7 +150,8 @@ def _scan(distance: int):
 def near_links(nodes: DataFrame, distance: int = 4, chunk: int = 8192) -> DataFrame:
     """Links ``(a, b)`` that connect all distinct fingerprints ``fp`` within ``distance`` bits."""
     n = partitions(nodes.sparkSession)
-    keyed = nodes.select("fp", F.explode(variant_keys("fp", distance)).alias("key"))
+    # every node becomes 64 rows: spread the nodes first
+    keyed = nodes.select("fp").repartition(n).select("fp", F.explode(variant_keys("fp", distance)).alias("key"))
     hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > chunk)
     hot = materialize(hot.select("key", F.ceil(F.col("members") / chunk).cast("int").alias("chunks")), "hot")
     cold = keyed

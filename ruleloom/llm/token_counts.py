@@ -18,8 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ruleloom.llm.common import materialize
+
 #: Lengths in one block of the suffix sums.
-BLOCK = 1024
+BLOCK = 64
 
 _encoders: dict[str, object] = {}
 
@@ -57,7 +59,8 @@ def length_histogram(docs: DataFrame, text: str = "text", ranks_path: str | None
         yield pd.DataFrame({"n_tokens": list(seen), "n_docs": list(seen.values())}, dtype="int64")
 
     part = docs.select(F.col(f"`{text}`").alias("t")).mapInPandas(run, "n_tokens bigint, n_docs bigint")
-    return part.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    # one small row a length: written, so that no later step encodes texts again
+    return materialize(part.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "lengths")
 
 
 def every_limit(histogram: DataFrame) -> DataFrame:
