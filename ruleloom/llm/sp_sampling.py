@@ -10,8 +10,9 @@ row's key and the place in the text, so a key's segmentation can be
 reproduced.
 
 No piece reaches over the end of a word into the next space, so the lattice of
-a text falls into those of its words, and a word's forward sums are computed
-once for a process.  Backward steps of all words of a batch are drawn together.
+a text falls into those of its words; the distinct words of a batch are
+filtered together, one position at a time, and all their occurrences are drawn
+together, one backward step at a time.
 Spaces are spaces: nothing is normalised, added or dropped, a literal piece
 mark in a text is written as bytes, and decoding gives back every text.
 """
@@ -28,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Words whose lattices a process keeps; it starts afresh beyond.
-CACHED_WORDS = 400_000
 #: Code points that are sampled at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 _WORD = re.compile(r" *[^ \n]+| +|\n")
 _GAMMA, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_BASE = np.uint64(0x100000001B3)
+#: Slots of the hash table of pieces and their beginnings, as a power of two.
+_SLOTS = 20
 
 
 def default_model() -> str:
@@ -61,7 +63,7 @@ class Sampler:
         self.pieces: dict[str, tuple[int, float]] = {}
         self.byte_id = [-1] * 256
         n = model.get_piece_size()
-        norm = float(np.log(np.arange(1, n + 1, dtype=float) ** -1.0 @ np.ones(n)))
+        norm = float(np.log((1.0 / np.arange(1, n + 1)).sum()))
         rank = 0
         for i in range(n):
             piece = model.id_to_piece(i)
@@ -77,113 +79,157 @@ class Sampler:
                 self.surface.append(text.encode())
         if min(self.byte_id) < 0:
             raise ValueError("the model has no byte pieces: not every text can be decoded")
+        if any(" " in p.lstrip(" ") or "\n" in p for p in self.pieces):
+            raise ValueError("the model has pieces that reach over words")
+        self._index()
+
+    def _index(self) -> None:
+        """A hash table of all beginnings of pieces; a beginning that is a piece knows its id."""
+        found: dict[str, int] = {}
+        for p in self.pieces:
+            for j in range(1, len(p) + 1):
+                found.setdefault(p[:j], len(found))
         self.longest = max(map(len, self.pieces))
-        self.heads = {p[:1] for p in self.pieces if len(p) > 1}
-        self.forget()
-
-    def forget(self) -> None:
-        self.words: dict[str, int] = {}
-        self.first: list[int] = []  # state of a word's end
-        self.cdf: list[float] = []  # of the edges into each state, plus the state's number
-        self.edge_id: list[int] = []
-        self.edge_from: list[int] = []
-        self.ready = None
-        self.states = 0
-
-    def lattice(self, word: str) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-        """Forward log-sums, and for every position the edges (from, id, log p) that end there."""
-        n, pieces = len(word), self.pieces
-        into: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            single = pieces.get(word[i])
-            if single is None:
-                into[i + 1].append((i, -1, -20.0))
-            else:
-                into[i + 1].append((i, *single))
-            if word[i] in self.heads:
-                for j in range(i + 2, min(n, i + self.longest) + 1):
-                    found = pieces.get(word[i:j])
-                    if found is not None:
-                        into[j].append((i, *found))
-        total = np.full(n + 1, -np.inf)
-        total[0] = 0.0
-        for j in range(1, n + 1):
-            edges = into[j]
-            if len(edges) == 1:
-                total[j] = total[edges[0][0]] + edges[0][2]
-            else:
-                values = [total[i] + p for i, _, p in edges]
-                top = max(values)
-                total[j] = top + np.log(sum([np.exp(v - top) for v in values]))
-        return total, into
-
-    def learn(self, word: str) -> int:
-        """The number of the word, whose states are added to the tables."""
-        total, into = self.lattice(word)
-        base, n = self.states, len(word)
-        # state base + j is position j; position 0 has no edges
-        for j in range(1, n + 1):
-            share, edges = 0.0, into[j]
-            for e, (i, piece, p) in enumerate(edges):
-                share = 1.0 if e == len(edges) - 1 else min(1.0, share + float(np.exp(total[i] + p - total[j])))
-                self.cdf.append(base + j + share * (1 - 2.0**-20))
-                self.edge_id.append(piece if piece >= 0 else -1 - ord(word[i]))
-                self.edge_from.append(base + i if i else -1)
-        self.states += n + 1
-        self.first.append(base + n)
-        self.words[word] = len(self.first) - 1
-        return self.words[word]
+        self.piece_of = np.full(len(found), -1, np.int64)
+        self.weight_of = np.zeros(len(found))
+        self.hashes = np.zeros(len(found), np.uint64)
+        self.table = np.full(1 << _SLOTS, -1, np.int32)
+        for p, k in found.items():
+            h = 0
+            for c in p:
+                h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+            self.hashes[k] = h
+            if p in self.pieces:
+                self.piece_of[k], self.weight_of[k] = self.pieces[p]
+            at = (h * int(_GAMMA) & 0xFFFFFFFFFFFFFFFF) >> (64 - _SLOTS)
+            while self.table[at] >= 0:
+                if self.hashes[self.table[at]] == h:
+                    raise ValueError("two beginnings of pieces have one hash")
+                at = (at + 1) % (1 << _SLOTS)
+            self.table[at] = k
+
+    def _look_up(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of beginnings by hash; -1 for none."""
+        at = (h * _GAMMA >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        out = self.table[at].astype(np.int64)
+        wrong = np.flatnonzero((out >= 0) & (self.hashes[out] != h))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) % (1 << _SLOTS)
+            out[wrong] = self.table[at[wrong]]
+            wrong = wrong[(out[wrong] >= 0) & (self.hashes[out[wrong]] != h[wrong])]
+        return out
+
+    def lattices(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forward filtering of many words at once.
+
+        Boundaries are numbered through all words.  Returns (end boundary of
+        each word, log-sum at each boundary, first edge into each boundary,
+        and for the edges, sorted by end: cumulated share plus number of the
+        boundary, piece, source boundary or -1 for a word's start).
+        """
+        size = np.array([len(w) for w in words], np.int64)
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(words)), size)
+        first = np.cumsum(size) - size
+        place = np.arange(len(chars)) - first[word]
+        left = size[word] - place  # characters to the word's end
+        base = first + np.arange(len(words))  # boundary before each word
+        start, end, piece, weight = [], [], [], []
+        alive, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
+        for length in range(1, self.longest + 1):
+            h = h * _BASE + (chars[alive + length - 1] + 1).astype(np.uint64)
+            known = self._look_up(h)
+            ids = np.where(known >= 0, self.piece_of[known], -1)
+            hit = np.flatnonzero(ids >= 0)
+            at = alive[hit]
+            start.append(at)
+            end.append(np.full(len(at), length))
+            piece.append(ids[hit])
+            weight.append(self.weight_of[known[hit]])
+            if length == 1:
+                bare = np.flatnonzero(ids < 0)
+                start.append(bare)
+                end.append(np.full(len(bare), 1))
+                piece.append(-1 - chars[bare])
+                weight.append(np.full(len(bare), -20.0))
+            more = (known >= 0) & (left[alive] > length)
+            alive, h = alive[more], h[more]
+            if not len(alive):
+                break
+        start, length = np.concatenate(start), np.concatenate(end)
+        piece, weight = np.concatenate(piece), np.concatenate(weight)
+        stop = place[start] + length  # place of the end in its word
+        source = base[word[start]] + place[start]
+        target = source + length
+        order = np.lexsort((source, target, stop))
+        stop, source, target, piece, weight = stop[order], source[order], target[order], piece[order], weight[order]
+        total = np.full(len(chars) + len(words), -np.inf)
+        total[base] = 0.0
+        cuts = np.searchsorted(stop, np.arange(1, int(size.max(initial=0)) + 2))
+        begins = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
+        share = np.zeros(len(target))
+        which = np.searchsorted(begins, cuts)
+        edges_of = np.diff(np.r_[begins, len(target)])
+        for k in range(len(cuts) - 1):
+            a, b = cuts[k], cuts[k + 1]
+            if a == b:
+                continue
+            some = begins[which[k] : which[k + 1]] - a
+            value = total[source[a:b]] + weight[a:b]
+            top = np.maximum.reduceat(value, some)
+            e = np.exp(value - np.repeat(top, edges_of[which[k] : which[k + 1]]))
+            summed = np.add.reduceat(e, some)
+            total[target[a:b][some]] = top + np.log(summed)
+            share[a:b] = e / np.repeat(summed, edges_of[which[k] : which[k + 1]])
+        # by end boundary: cumulated shares, the last of each boundary exactly one
+        order = np.lexsort((source, target))
+        source, target, piece, share = source[order], target[order], piece[order], share[order]
+        grown = np.cumsum(share)
+        begins = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
+        grown -= np.repeat(np.r_[0.0, grown[begins[1:] - 1]], np.diff(np.r_[begins, len(target)]))
+        grown[np.r_[begins[1:] - 1, len(target) - 1]] = 1.0
+        return base + size, total, target + np.minimum(grown, 1.0) * (1 - 2.0**-20), piece, np.where(np.isin(source, base), -1, source), begins
 
     def sample(self, keys: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
-        if len(self.words) > CACHED_WORDS:
-            self.forget()
+        number_of: dict[str, int] = {}
         which: list[int] = []
         counts, seeds = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.uint64)
-        known = self.words
         for t, (k, text) in enumerate(zip(keys, texts, strict=True)):
             parts = _WORD.findall(text)
-            numbers = [known.get(p, -1) for p in parts]
-            if -1 in numbers:
-                numbers = [known[p] if p in known else self.learn(p) for p in parts]
-                self.ready = None
-            which += numbers
+            which += [number_of.setdefault(p, len(number_of)) for p in parts]
             counts[t] = len(parts)
             seeds[t] = xxhash.xxh64_intdigest(k.encode(), 0)
-        if self.ready is None:
-            self.ready = (np.array(self.first, np.int64), np.array(self.cdf), np.array(self.edge_id, np.int64), np.array(self.edge_from, np.int64))
-        first, cdf, edge_id, edge_from = self.ready
-        number = np.array(which, np.int64)
+        if not which:
+            return np.zeros(0, np.int32), counts
+        last, _, cdf, piece, source, _ = self.lattices(list(number_of))
         start = np.repeat(np.cumsum(counts) - counts, counts)
-        counter = np.repeat(seeds, counts) + (np.arange(len(number)) - start).astype(np.uint64) * np.uint64(1 << 20)
-        state, alive = first[number] if len(number) else number, np.arange(len(number))
+        counter = np.repeat(seeds, counts) + (np.arange(len(which)) - start).astype(np.uint64) * np.uint64(1 << 20)
+        state, alive = last[np.array(which, np.int64)], np.arange(len(which))
         taken_by, taken = [], []
-        length, step = np.zeros(len(number), np.int64), 0
+        length, step = np.zeros(len(which), np.int64), 0
         while len(alive):
             u = _uniform(counter[alive] + np.uint64(step))
             edge = np.searchsorted(cdf, state + u * (1 - 2.0**-20), "left")
-            ids = edge_id[edge]
             taken_by.append(alive)
-            taken.append(ids)
+            taken.append(piece[edge])
             length[alive] += 1
-            state = edge_from[edge]
+            state = source[edge]
             more = state >= 0
             alive, state = alive[more], state[more]
             step += 1
-        if not taken:
-            return np.zeros(0, np.int32), counts
         ends = np.cumsum(length)
         out = np.zeros(int(ends[-1]), np.int64)
-        for s, (who, ids) in enumerate(zip(taken_by, taken, strict=True)):
-            out[ends[who] - 1 - s] = ids
-        of_text = np.add.reduceat(np.r_[length, 0], np.minimum(np.cumsum(counts) - counts, len(length))) * (counts > 0)
+        for k, (who, ids) in enumerate(zip(taken_by, taken, strict=True)):
+            out[ends[who] - 1 - k] = ids
+        of_text = np.add.reduceat(np.r_[length, 0], np.cumsum(counts) - counts) * (counts > 0)
         bare = np.flatnonzero(out < 0)
         if len(bare):  # characters without a piece become bytes
             spelled = [[self.byte_id[b] for b in chr(-1 - int(c)).encode("utf-8", "surrogatepass")] for c in out[bare]]
             grow = np.ones(len(out), np.int64)
             grow[bare] = [len(b) for b in spelled]
             text_of = np.repeat(np.arange(len(texts)), of_text)
-            of_text = np.bincount(np.repeat(text_of, grow), minlength=len(texts))
+            of_text = np.bincount(text_of, weights=grow, minlength=len(texts)).astype(np.int64)
             wide = np.repeat(out, grow)
             wide[wide < 0] = [b for one in spelled for b in one]
             out = wide
