@@ -406,21 +406,23 @@ def read_blocks(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start, packed in zip(batch["start"], batch["block"], strict=True):
+            for f, b, packed in zip(batch["file_no"], batch["block_no"], batch["block"], strict=True):
                 keys, lengths, ids = unpack_block(packed)
-                raw, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths)
+                raw, ends = memoryview(ids.astype("<u4", copy=False).tobytes()), np.cumsum(lengths)
                 begins = ends - lengths
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                yield pd.DataFrame({"k": pd.array(keys, dtype="Int64"), "start": start + begins, "n_tokens": lengths, "ids_crc32": crc})
+                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]
+                yield pd.DataFrame({"f": f, "b": b, "k": pd.array(keys, dtype="Int64"), "at": begins, "n_tokens": lengths, "ids_crc32": crc})
 
     sizes = blocks.select("file_no", "block_no", "n_ids")
     files = sizes.groupBy("file_no").agg(F.sum("n_ids").alias("in_file"))
-    files = files.select(F.col("file_no").alias("f"), F.coalesce(F.sum("in_file").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("file_start"))
+    all_before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    files = files.select(F.col("file_no").alias("f"), F.coalesce(F.sum("in_file").over(all_before), F.lit(0)).alias("file_start"))
     w = Window.partitionBy("file_no").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("in_file", F.coalesce(F.sum("n_ids").over(w), F.lit(0)))
-    starts = starts.join(files, F.col("file_no") == F.col("f")).select(F.col("file_no").alias("f"), F.col("block_no").alias("b"), (F.col("file_start") + F.col("in_file")).alias("start"))
-    placed = blocks.join(starts, (F.col("file_no") == F.col("f")) & (F.col("block_no") == F.col("b"))).select("start", "block")
-    return placed.mapInPandas(run, "k bigint, start bigint, n_tokens bigint, ids_crc32 bigint").withColumnRenamed("k", key)
+    starts = starts.join(files, F.col("file_no") == F.col("f")).select("file_no", "block_no", (F.col("file_start") + F.col("in_file")).alias("block_start"))
+    read = blocks.select("file_no", "block_no", "block").mapInPandas(run, "f int, b int, k bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
+    placed = read.join(starts, (F.col("file_no") == F.col("f")) & (F.col("block_no") == F.col("b")))
+    return placed.select(F.col("k").alias(key), (F.col("block_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer_path: str | None = None, end_id: int = 0, block_ids: int = BLOCK_IDS) -> DataFrame:
