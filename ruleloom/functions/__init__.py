@@ -357,12 +357,12 @@ def _python(name: str, body: Callable, kind: str) -> None:
 
     def of(*a: Column) -> Column:
         import pandas as pd
+        from pyspark.sql.pandas.functions import PandasUDFType
 
-        @F.pandas_udf(kind)
-        def run(*columns: pd.Series) -> pd.Series:
+        def run(*columns):
             return pd.Series([None if any(v is None for v in row) else body(*row) for row in zip(*columns, strict=True)], dtype=object)
 
-        return run(*a)
+        return F.pandas_udf(run, kind, PandasUDFType.SCALAR)(*a)
 
     TABLE[name] = of
 
