@@ -19,7 +19,9 @@ mark in a text is written as bytes, and decoding gives back every text.
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,13 +121,13 @@ class Sampler:
             wrong = wrong[(out[wrong] >= 0) & (self.hashes[out[wrong]] != h[wrong])]
         return out
 
-    def lattices(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def lattices(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """Forward filtering of many words at once.
 
         Boundaries are numbered through all words.  Returns (end boundary of
-        each word, log-sum at each boundary, first edge into each boundary,
-        and for the edges, sorted by end: cumulated share plus number of the
-        boundary, piece, source boundary or -1 for a word's start).
+        each word, log-sum at each boundary, and for the edges, sorted by end:
+        cumulated share plus number of the boundary, piece, source boundary or
+        -1 for a word's start).
         """
         size = np.array([len(w) for w in words], np.int64)
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -158,51 +160,51 @@ class Sampler:
                 break
         start, length = np.concatenate(start), np.concatenate(end)
         piece, weight = np.concatenate(piece), np.concatenate(weight)
-        stop = place[start] + length  # place of the end in its word
         source = base[word[start]] + place[start]
         target = source + length
-        order = np.lexsort((source, target, stop))
-        stop, source, target, piece, weight = stop[order], source[order], target[order], piece[order], weight[order]
-        total = np.full(len(chars) + len(words), -np.inf)
-        total[base] = 0.0
-        cuts = np.searchsorted(stop, np.arange(1, int(size.max(initial=0)) + 2))
-        begins = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
+        order = np.argsort(target, kind="stable")  # merges one sorted run a length
+        source, target, piece, weight = source[order], target[order], piece[order], weight[order]
+        bounds = len(chars) + len(words)
+        edges = np.bincount(target, minlength=bounds)
+        first_edge = np.cumsum(edges) - edges
+        total = np.zeros(bounds)
         share = np.zeros(len(target))
-        which = np.searchsorted(begins, cuts)
-        edges_of = np.diff(np.r_[begins, len(target)])
-        for k in range(len(cuts) - 1):
-            a, b = cuts[k], cuts[k + 1]
-            if a == b:
-                continue
-            some = begins[which[k] : which[k + 1]] - a
-            value = total[source[a:b]] + weight[a:b]
+        by_size = np.argsort(-size, kind="stable")
+        ordered, sizes = base[by_size], -size[by_size]
+        for k in range(1, int(size.max(initial=0)) + 1):
+            # the boundaries after k characters, of all words that are as long
+            at = ordered[: np.searchsorted(sizes, -k, "right")] + k
+            n = edges[at]
+            some = np.cumsum(n) - n
+            pick = np.repeat(first_edge[at] - some, n) + np.arange(int(some[-1] + n[-1]))
+            value = total[source[pick]] + weight[pick]
             top = np.maximum.reduceat(value, some)
-            e = np.exp(value - np.repeat(top, edges_of[which[k] : which[k + 1]]))
+            e = np.exp(value - np.repeat(top, n))
             summed = np.add.reduceat(e, some)
-            total[target[a:b][some]] = top + np.log(summed)
-            share[a:b] = e / np.repeat(summed, edges_of[which[k] : which[k + 1]])
-        # by end boundary: cumulated shares, the last of each boundary exactly one
-        order = np.lexsort((source, target))
-        source, target, piece, share = source[order], target[order], piece[order], share[order]
+            total[at] = top + np.log(summed)
+            share[pick] = e / np.repeat(summed, n)
+        # cumulated shares by end boundary, the last of each boundary exactly one
         grown = np.cumsum(share)
         begins = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
         grown -= np.repeat(np.r_[0.0, grown[begins[1:] - 1]], np.diff(np.r_[begins, len(target)]))
         grown[np.r_[begins[1:] - 1, len(target) - 1]] = 1.0
-        return base + size, total, target + np.minimum(grown, 1.0) * (1 - 2.0**-20), piece, np.where(np.isin(source, base), -1, source), begins
+        at_start = np.zeros(bounds, bool)
+        at_start[base] = True
+        return base + size, total, target + np.minimum(grown, 1.0) * (1 - 2.0**-20), piece, np.where(at_start[source], -1, source)
 
     def sample(self, keys: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
-        number_of: dict[str, int] = {}
+        number_of: dict[str, int] = defaultdict(itertools.count().__next__)
         which: list[int] = []
         counts, seeds = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.uint64)
         for t, (k, text) in enumerate(zip(keys, texts, strict=True)):
             parts = _WORD.findall(text)
-            which += [number_of.setdefault(p, len(number_of)) for p in parts]
+            which += [number_of[p] for p in parts]
             counts[t] = len(parts)
             seeds[t] = xxhash.xxh64_intdigest(k.encode(), 0)
         if not which:
             return np.zeros(0, np.int32), counts
-        last, _, cdf, piece, source, _ = self.lattices(list(number_of))
+        last, _, cdf, piece, source = self.lattices(list(number_of))
         start = np.repeat(np.cumsum(counts) - counts, counts)
         counter = np.repeat(seeds, counts) + (np.arange(len(which)) - start).astype(np.uint64) * np.uint64(1 << 20)
         state, alive = last[np.array(which, np.int64)], np.arange(len(which))
