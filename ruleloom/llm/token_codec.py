@@ -25,13 +25,14 @@ from __future__ import annotations
 
 
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,14 +41,16 @@ from ruleloom.llm.common import materialize, partitions
 MAGIC = b"RLTB"
 HEAD = struct.Struct("<4sBBIIIII")
 #: Ids in a block, unless one document alone has more.
-BLOCK_IDS = 1 << 20
-LANES = 4096
+BLOCK_IDS = 1 << 21
+LANES = 8192
 FLAG_BITS, ID_BITS = 16, 20
 #: Larger alphabets are stored as they are.
 MOST_IDS = 1 << 18
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64((1 << 32) - 1)
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _ORDER2 = 18
+#: Steps between refreshes of the mixing weights, once a block has begun.
+_MIX_STEPS = 8
 
 
 class _Model:
@@ -60,6 +63,7 @@ class _Model:
         self.before1 = np.full(lanes, size, np.int64)
         self.before2 = np.full(lanes, size, np.int64)
         self.flags = np.tile(np.array([2, 1, 4], np.int64), (32, 1))
+        self.codes: list[np.ndarray] = []
         self.counts = np.zeros(size, np.int64)
         self.seen, self.pending, self.next = 0, [], 0
         self.refresh()
@@ -103,10 +107,13 @@ class _Model:
         self.second[self.at2] = np.where(hit2, (self.guess2 + 1 << 2) | up, np.where(self.sure2 > 1, (self.guess2 + 1 << 2) | (self.sure2 - 2), (ids + 1) << 2))
         up = np.minimum(self.sure1 + 1, 3)
         self.first[self.at1] = np.where(hit1, (self.guess1 + 1 << 2) | up, np.where(self.sure1 > 1, (self.guess1 + 1 << 2) | (self.sure1 - 2), (ids + 1) << 2))
-        self.flags += np.bincount(self.context * 3 + flag, minlength=96).reshape(32, 3)
-        if self.flags.max() > 1 << 20:
-            self.flags = (self.flags >> 1) + 1
-        self.mix()
+        self.codes.append(self.context * 3 + flag)
+        if len(self.codes) == _MIX_STEPS or self.seen < 1 << 16:
+            self.flags += np.bincount(np.concatenate(self.codes), minlength=96).reshape(32, 3)
+            self.codes = []
+            if self.flags.max() > 1 << 20:
+                self.flags = (self.flags >> 1) + 1
+            self.mix()
         self.before2[:n], self.before1[:n] = self.before1[:n].copy(), ids
         self.pending.append(ids)
         self.seen += n
@@ -265,9 +272,8 @@ def default_tokenizer() -> str:
 
 #: Pieces in each of the two generations of the cache.
 CACHED_PIECES = 300_000
-#: Code points that are split into pieces at once.
-AT_ONCE = 1 << 20
-_RUN = re.compile(r" \s|^ | $")
+#: Bytes of text that are split into pieces at once.
+AT_ONCE = 1 << 22
 
 
 class Encoder:
@@ -275,10 +281,10 @@ class Encoder:
 
     A byte-level tokenizer splits before any space that a visible character
     follows, so a text's ids are those of its space-separated pieces in turn.
-    New pieces are encoded together, many in a call, and told apart by their
-    bytes; a cache of two generations keeps the frequent ones.  Texts with runs
-    of white space around a space, and tokenizers of other kinds, are encoded
-    whole.
+    Arrow finds the distinct pieces of some texts; new ones are encoded
+    together, many in a call, and told apart by their bytes, and a cache of two
+    generations keeps the frequent ones.  Texts with runs of white space around
+    a space, and tokenizers of other kinds, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -300,7 +306,7 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Encode pieces, each with a space before it."""
         new = []
         for p in pieces:
@@ -319,32 +325,51 @@ class Encoder:
                 self.young[p] = raw[at:stop]
                 at = stop
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not self.by_piece:
-            return self._whole(texts)
+            return self._whole(texts.to_pylist())
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         out, at = [], 0
         while at < len(texts):
-            stop, size = at, 0
-            while stop < len(texts) and size < AT_ONCE:
-                size += len(texts[stop])
-                stop += 1
-            out += self._some(texts[at:stop])
+            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + AT_ONCE, "right")))
+            out += self._some(texts.slice(at, stop - at))
             at = stop
         return out
 
-    def _some(self, texts: list[str]) -> list[bytes]:
+    def _some(self, texts: pa.Array) -> list[bytes]:
         if len(self.young) > CACHED_PIECES:
             self.young, self.old = {}, self.young
-        split = [None if _RUN.search(t) else t.split(" ") for t in texts]
-        wanted = set()
-        for pieces in split:
-            if pieces:
-                wanted.update(pieces[1:])
-        self._learn(wanted.difference(self.young))
-        heads = iter(self._whole([t if pieces is None else pieces[0] for t, pieces in zip(texts, split, strict=True)]))
-        young = self.young
-        return [next(heads) + (b"" if pieces is None else b"".join([young[p] for p in pieces[1:]])) for pieces in split]
+        pieces = pc.split_pattern(texts, " ")
+        flat = pieces.flatten().dictionary_encode()
+        number = flat.indices.to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))
+        first = np.r_[0, ends[:-1]]
+        names = flat.dictionary.to_pylist()
+        found = list(map(self.young.get, names))
+        unknown, odd = [], np.zeros(len(names), bool)
+        for i in [i for i, v in enumerate(found) if v is None]:
+            if not names[i] or names[i][0].isspace():
+                odd[i], found[i] = True, b""
+            else:
+                unknown.append(i)
+        self._learn([names[i] for i in unknown])
+        for i in unknown:
+            found[i] = self.young[names[i]]
+        # a text with white space next to a space is encoded whole, others piece by piece
+        whole = np.add.reduceat(odd[number].astype(np.int64), first) > 0
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.array(list(map(len, found)), np.int64) >> 2
+        start = np.cumsum(size) - size
+        length = size[number]
+        length[first] = 0
+        stops = np.cumsum(length)
+        placed = ids[np.repeat(start[number] - stops + length, length) + np.arange(int(stops[-1]))].tobytes()
+        cut = (4 * stops[ends - 1]).tolist()
+        heads = iter(self._whole([names[i] for i in number[first[~whole]].tolist()]))
+        wholes = iter(self._whole([texts[i].as_py() for i in np.flatnonzero(whole).tolist()]))
+        return [next(wholes) if w else next(heads) + placed[a:b] for w, a, b in zip(whole.tolist(), [0, *cut[:-1]], cut, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -367,25 +392,25 @@ def write_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", token
     path = tokenizer_path or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, file_no, number = _encoder(path).encode, TaskContext.get().partitionId(), 0
         keys, lengths, parts, held = [], [], [], 0
 
-        def block() -> pd.DataFrame:
+        def block() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(parts), "<u4")
-            return pd.DataFrame({"file_no": [file_no], "block_no": [number], "n_ids": [len(ids)], "block": [pack_block(keys, lengths, ids)]})
+            row = [pa.array([file_no], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([pack_block(keys, lengths, ids)], pa.binary())]
+            return pa.RecordBatch.from_arrays(row, ["file_no", "block_no", "n_ids", "block"])
 
         for batch in batches:
-            found = encode([t or "" for t in batch["t"]])
-            for missing, k, ids in zip(batch["k"].isna(), batch["k"], found, strict=True):
+            for k, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 ids += end
                 if held and held + len(ids) // 4 > block_ids:
                     yield block()
                     number += 1
                     keys, lengths, parts, held = [], [], [], 0
-                keys.append(None if missing else int(k))
+                keys.append(k)
                 lengths.append(len(ids) // 4)
                 parts.append(ids)
                 held += len(ids) // 4
@@ -394,7 +419,7 @@ def write_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", token
 
     d = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t"))
     d = d.repartitionByRange(partitions(docs.sparkSession), "k").sortWithinPartitions("k")
-    return materialize(d.mapInPandas(run, "file_no int, block_no int, n_ids bigint, block binary"), "ids")
+    return materialize(d.mapInArrow(run, "file_no int, block_no int, n_ids bigint, block binary"), "ids")
 
 
 def read_blocks(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
