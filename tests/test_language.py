@@ -198,3 +198,18 @@ def test_ground_and_text_table(spark):
 def test_program_errors(spark, text):
     with pytest.raises(ProgramError):
         Program(text, spark).df("Out").collect()
+
+
+def test_sweeps_in_turn_and_together(spark):
+    text = '@Recursive(A, 10, mode: "%s"); A() Max= 0; B() Max= A() + 1; C() Max= B() + 1; A() Max= C() + 1; Out(A());'
+    assert rows(spark, text % "diamond") == [(30,)]
+    assert rows(spark, text % "horizontal") == [(9,)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from ruleloom.__main__ import main
+
+    (tmp_path / "p.l").write_text('P("a", 1); P("b", ${n});')
+    assert main([f"{tmp_path}/p.l", "run", "P", "--n=5"]) == 0
+    assert "| b    |    5 |" in capsys.readouterr().out
+    assert main(["x"]) == 2
