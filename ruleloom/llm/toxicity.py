@@ -38,13 +38,13 @@ class Limits:
     #: of each sampled text; scoring has no such bound
     chars: int = 20_000
     dictionary_bytes: int = 24_576
-    toxic_bytes: int = 16_384
+    toxic_bytes: int = 6_000
     #: how much likelier a typical word is in toxic texts: the value that calibrates best is kept
     ratios: tuple[float, ...] = (10.0, 30.0, 60.0)
 
 
 #: Words of a window, and thresholds of saved bytes for windows of that size.
-WINDOWS = ((1, (1, 2, 3, 4, 5, 6, 8)), (4, (4, 6, 8, 10, 12, 15)))
+WINDOWS = ((1, (1, 2, 3, 4, 5, 6, 8)), (4, (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15)))
 
 
 def _words(text: str | None) -> list[bytes]:
