@@ -134,7 +134,19 @@ def _top(p: Column, k: Column, ascending: bool) -> Column:
 define("ArgMinK", aggregate=True)(lambda p, k: _top(p, k, True))
 define("ArgMaxK", aggregate=True)(lambda p, k: _top(p, k, False))
 define("ApproxQuantiles", aggregate=True, literals=True)(lambda x, n, literals: F.percentile_approx(x, [i / literals[1] for i in range(literals[1] + 1)]))
-define("ApproxTopCount", aggregate=True, literals=True)(lambda x, k, literals: F.expr("1") if literals[1] is None else F.call_function("approx_top_k", x, F.lit(int(literals[1]))))
+define("ApproxTopCount", aggregate=True, literals=True)(lambda x, k, literals: F.transform(F.call_function("approx_top_k", x, F.lit(int(literals[1]))), lambda s: F.struct(s["item"].alias("value"), s["count"].alias("count"))))
+
+
+@define("ApproxTopSum", aggregate=True)
+def approx_top_sum(x: Column, weight: Column, k: Column) -> Column:
+    """The k values of the largest summed weights, exactly; a group's distinct values are held in one map."""
+    pairs = F.collect_list(F.struct(x.alias("value"), weight.cast("double").alias("sum")))
+    values = F.array_distinct(F.transform(pairs, lambda p: p["value"]))
+    sums = F.transform(values, lambda v: F.struct(v.alias("value"), F.aggregate(F.filter(pairs, lambda p: p["value"] == v), F.lit(0.0), lambda s, p: s + p["sum"]).alias("sum")))
+    ordered = F.array_sort(sums, lambda a, b: F.when(a["sum"] > b["sum"], -1).when(a["sum"] < b["sum"], 1).when(a["value"] < b["value"], -1).otherwise(1))
+    return F.slice(ordered, F.lit(1), k.cast("int"))
+
+
 define("HllCountMerge", aggregate=True)(lambda x: F.hll_sketch_estimate(F.hll_union_agg(x)))
 define("PercentileCont", aggregate=True, literals=True)(lambda x, p, literals: F.percentile(x, literals[1]))
 define("PercentileDisc", aggregate=True, literals=True)(lambda x, p, literals: F.percentile_approx(x, literals[1], 1_000_000))
@@ -229,6 +241,7 @@ define("CodePointsToString")(lambda xs: F.array_join(F.transform(xs, lambda x: T
 define("CodePointsToBytes")(lambda xs: F.unhex(F.array_join(F.transform(xs, lambda x: F.lpad(F.hex(x), 2, "0")), "")))
 define("ToCodePoints")(lambda s: F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c)))
 define("UniqueNumber", "UnsafeToUseUniqueNumber")(lambda: F.monotonically_increasing_id())
+define("ProverChoice")(lambda slot, options: F.get(options, F.pmod(F.xxhash64(F.lit("choice"), slot), F.size(options)).cast("int")))
 define("QuoteIt")(lambda s: F.concat(F.lit('"'), s, F.lit('"')))
 define("RExtract")(lambda s, p, g: F.call_function("regexp_extract", s, p, g.cast("int")))
 

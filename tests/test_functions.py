@@ -59,3 +59,58 @@ def test_aggregates(spark):
 def test_wrong_number_of_arguments(spark):
     with pytest.raises(ProgramError):
         Program("Out(ToInt64(1, 2, 3));", spark).df("Out")
+
+
+TIMES = [
+    ('FormatTimestamp("%H:%M", t)', "03:04"), ('FormatDatetime("%Y%m%d", t)', "20200102"), ('ToString(TimestampTrunc(t, "HOUR"))', "2020-01-02 03:00:00"), ('ToString(ParseTimestamp("%Y-%m-%d %H:%M:%S", "2020-01-02 03:04:05"))', "2020-01-02 03:04:05"),
+    ('DatetimeDiff(t, TimestampSeconds(0), "DAY")', 18263), ("UnixMillis(t)", 1577934245000), ("UnixMicros(t)", 1577934245000000), ("ToString(TimestampAddDays(t, 1))", "2020-01-03 03:04:05"), ("ToString(TimeAdd(t, 5))", "2020-01-02 03:04:10"),
+    ("ToString(TimestampSub(t, 5))", "2020-01-02 03:04:00"), ("ToString(ToTime(\"2020-01-02 00:00:01\"))", "2020-01-02 00:00:01"), ("ToString(Datetime(2020, 1, 2, 3, 4, 5))", "2020-01-02 03:04:05"), ('ToString(ParseDatetime("%Y-%m-%d", "2020-01-02"))', "2020-01-02 00:00:00"),
+    ("Size(GenerateDateArray(Date(2020, 1, 1), Date(2020, 1, 5)))", 5), ('AeadDecryptString(k, AeadEncrypt(k, "secret", "aad"), "aad")', "secret"), ("SafeConvertBytesToString(FromHex(\"61\"))", "a"), ("ToHex(CodePointsToBytes([1, 255]))", "01ff"),
+    ('NetIpInNet("10.1.1.1", "10.0.0.0/8")', True), ('NetMakeNet("10.1.1.1", 8)', "10.0.0.0/8"), ('NetFormatIp(NetParseIp("1.2.3.4"))', "1.2.3.4"), ("Atan2(0.0, 1.0)", 0.0), ("Acosh(1.0)", 0.0), ("FarmFingerprint(\"a\") == FarmFingerprint(\"a\")", True), ("NaturalHash(\"a\") >= 0", True),
+    ("Fingerprint(\"a\") < 9223372036854775807", True), ("Rand() < 1", True), ("Length(GenerateUuid())", 36), ("TryCast(\"5\", \"FLOAT64\")", 5.0), ("DisassembleRecord(AssembleRecord([\"a\" -> 1]))[0].value", 1), ("BitCastToUint64(-1) > 0", True), ("PercentilesOf", None),
+]
+
+
+def test_times_and_bytes(spark):
+    cases = [c for c in TIMES if c[1] is not None]
+    fields = ", ".join(f"f{i}: {e}" for i, (e, _) in enumerate(cases))
+    row = Program(f'Out({fields}) :- t == TimestampSeconds(1577934245), k == "0123456789abcdef";', spark).df("Out").first()
+    for i, (text, expected) in enumerate(cases):
+        assert row[f"f{i}"] == expected, (text, row[f"f{i}"], expected)
+
+
+def test_more_aggregates(spark):
+    data = "".join(f"T({x}.0, {y}.0, \"{z}\");" for x, y, z in ((1, 2, "a"), (2, 4, "b"), (3, 6, "a"), (4, 9, "a")))
+    formulas = {
+        "ApproxQuantiles(x, 2)": [1.0, 2.0, 4.0], "ApproxTopCount(z, 1)": [("a", 3)], "ApproxTopSum(z, x, 2)": [("a", 8.0), ("b", 2.0)], "HllCountExtract(HllCountInit(z))": 2, "PercentileCont(x, 0.5)": 2.5, "Round(Corr(x, y), 4)": 0.9944,
+        "CovarPop(x, y)": 2.875, "Countif(x > 2)": 2, "BitOr(ToInt64(x))": 7, "LogicalAnd(x > 0)": True, "StringAgg(z)": "a,b,a,a", "Size(ArrayAgg(z))": 4,
+    }
+    fields = ", ".join(f"f{i}? Aggr= {e}" for i, e in enumerate(formulas))
+    row = Program(f"Out({fields}) distinct :- T(x, y, z); {data}", spark).df("Out").first()
+    for i, (text, expected) in enumerate(formulas.items()):
+        got = row[f"f{i}"]
+        if text.startswith("StringAgg"):
+            got, expected = sorted(got), sorted(expected)
+        elif isinstance(got, list) and isinstance(expected[0], tuple):
+            got = [tuple(x) for x in got]
+        assert got == expected, (text, got, expected)
+
+
+def test_windows_and_effects(spark, tmp_path, capsys):
+    data = "D(1, 5); D(2, 7); D(3, 7);"
+    program = Program(
+        data + 'R(x, n) Aggr= Rank([], [n]) :- D(x, n); L(x) Aggr= Lead(x, [], [x], 2) :- D(x, n); N(x) Aggr= NthValue(x, [], [x], 1) :- D(x, n); Say(m) :- m == "hello"; Files(f, content: "text") :- f == "%s";' % f"{tmp_path}/f.txt",
+        spark,
+    )
+    assert sorted(map(tuple, program.df("R").collect())) == [(1, 5, 1), (2, 7, 2), (3, 7, 2)]
+    assert sorted(map(tuple, program.df("L").collect())) == [(1, 3), (2, None), (3, None)]
+    assert sorted(map(tuple, program.df("N").collect())) == [(1, 1), (2, 1), (3, 1)]
+    program.effects("Say")
+    assert capsys.readouterr().out.strip() == "hello"
+    assert program.effects("Files") == [f"{tmp_path}/f.txt"] and (tmp_path / "f.txt").read_text() == "text"
+
+
+def test_user_product_and_attached_tables(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a\n2\n3\n")
+    text = f'@AttachDatabase("d", "{tmp_path}"); `*`(x) = Round(Exp(Sum(Log(x)))); P() *= a :- d.t(a:); Out(P(), 2 * 3);'
+    assert tuple(Program(text, spark).df("Out").first()) == (6.0, 6)
