@@ -36,7 +36,7 @@ class Limits:
     toxic_rows: int = 3000
     ordinary_rows: int = 6000
     #: of each sampled text; scoring has no such bound
-    chars: int = 20_000
+    chars: int = 10_000
     dictionary_bytes: int = 24_576
     toxic_bytes: int = 6_000
     #: how much likelier a typical word is in toxic texts: the value that calibrates best is kept
