@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,14 +56,14 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """``(key, fp)`` for every row; ``fp`` is the fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, width) for t in batch["t"]], dtype=np.uint64)
-            yield pd.DataFrame({"k": batch["k"], "fp": found.view(np.int64)})
+            found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["k", "fp"])
 
     keyed = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     kind = keyed.schema["k"].dataType.simpleString()
-    return keyed.mapInPandas(run, f"k {kind}, fp bigint").withColumnRenamed("k", key)
+    return keyed.mapInArrow(run, f"k {kind}, fp bigint").withColumnRenamed("k", key)
 
 
 def variant_keys(fp: str = "fp", distance: int = 4):

@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Code points that are sampled at once.
+#: Bytes of text that are sampled at once.
 AT_ONCE = 1 << 20
 _WORD = re.compile(r" *[^ \n]+| +|\n")
 _GAMMA, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -265,20 +266,19 @@ def sampled_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", mod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler(path, temperature)
         for batch in batches:
-            names = ["" if k is None else str(k) for k in batch.column(0).to_pylist()]
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
             at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and size < AT_ONCE:
-                    size += len(texts[stop])
-                    stop += 1
-                ids, n = s.sample(names[at:stop], texts[at:stop])
+            while at < len(sizes):
+                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + AT_ONCE, "right")))
+                some = batch.slice(at, stop - at)
+                names = ["" if k is None else str(k) for k in some.column(0).to_pylist()]
+                texts = [t or "" for t in some.column(1).to_pylist()]
+                ids, n = s.sample(names, texts)
                 ends = np.r_[0, np.cumsum(n)]
-                listed = ids.tolist()
-                same = [s.decode(listed[a:b]) == t for a, b, t in zip(ends[:-1].tolist(), ends[1:].tolist(), texts[at:stop], strict=True)]
+                cuts = ends.tolist()
+                same = [s.decode(ids[a:b].tolist()) == t for a, b, t in zip(cuts[:-1], cuts[1:], texts, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, stop - at), lists, pa.array(n, pa.int64()), pa.array(same)], ["k", "ids", "n_ids", "lossless"])
+                yield pa.RecordBatch.from_arrays([some.column(0), lists, pa.array(n, pa.int64()), pa.array(same)], ["k", "ids", "n_ids", "lossless"])
                 at = stop
 
     d = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))

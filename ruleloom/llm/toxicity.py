@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,13 +178,12 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     at = docs.columns.index(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch.copy()
-            out["score"] = [model.score(t) for t in batch.iloc[:, at]]
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # columns pass through as they are; one text at a time becomes Python
+            scores = pa.array([model.score(t.as_py()) for t in batch.column(at)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", limits: Limits = Limits()) -> DataFrame:  # noqa: B008
