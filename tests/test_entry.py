@@ -62,6 +62,7 @@ def test_graphs_against_brute_force(spark, seed):
     df = spark.createDataFrame(edges, "a long, b long")
     far = brute_distances(edges)
     assert {tuple(x) for x in transitive_closure(df).collect()} == set(far)
+    assert {tuple(x) for x in transitive_closure(df, doubling=True).collect()} == set(far)
     assert {tuple(x) for x in distances(df).collect()} == {(a, b, d) for (a, b), d in far.items() if a != b}
     for a, b, path in shortest_paths(df).collect():
         assert (path[0], path[-1], len(path) - 1) == (a, b, far[a, b]) and all(e in edges for e in zip(path, path[1:], strict=False))
