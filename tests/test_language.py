@@ -104,7 +104,7 @@ CASES = {
     "order_and_limit": ('T(3); T(1); T(2); Out(x) order_by("col0 desc") limit(2) :- T(x);', [(3,), (2,)]),
     "membership_filter": ("Out(x) :- x in [1, 2, 3], Constraint(x in [2, 3, 3]);", [(2,), (3,)]),
     "sql_expression": ('Out(SqlExpr("upper({s})", {s: "a" ++ "b"}), SqlExpr("1 + 1", {}));', [("AB", 2)]),
-    "cast_json": ("Out(r.a, Size(r.b)) :- r == Cast(\"{\\\"a\\\": 1, \\\"b\\\": [1, 2]}\", {a: Num, b: [Num]});".replace('\\"', "'").replace("\"{'a': 1, 'b': [1, 2]}\"", "'{\"a\": 1, \"b\": [1, 2]}'"), [(1.0, 2)]),
+    "cast_json": ("Out(r.a, Size(r.b)) :- r == Cast('{\"a\": 1, \"b\": [1, 2]}', {a: Num, b: [Num]});", [(1.0, 2)]),
 }
 
 
@@ -175,6 +175,12 @@ def test_import(spark, tmp_path):
     (tmp_path / "lib" / "m.l").write_text("Twice(x) = H(x) * 2; H(x) = x; Data(1); Data(2);")
     text = "import lib.m.Twice; import lib.m.Data as D; Out(Twice(x)) :- D(x);"
     assert rows(spark, text, roots=[str(tmp_path)]) == bag((2,), (4,))
+    assert rows(spark, text + "Name(p.predicate_name) :- p == D;", "Name", roots=[str(tmp_path)]) == [("Data",)]
+    (tmp_path / "lib" / "n.l").write_text("import lib.n.X; X(1);")
+    with pytest.raises(ProgramError):
+        Program("import lib.n.X; Out(x) :- X(x);", spark, roots=[str(tmp_path)])
+    with pytest.raises(ProgramError):
+        Program("import lib.none.X; Out(x) :- X(x);", spark, roots=[str(tmp_path)])
 
 
 def test_ground_and_text_table(spark):
