@@ -92,6 +92,8 @@ CASES = {
     "semigroup": ('J(a, b) --> a ++ "-" ++ b; @BareAggregation(Chain, semigroup: J); Out(x) :- x Chain= (s :- s in ["p", "q"]);', [("p-q",)]),
     "left_outer_combine": ("Out(x, y) :- x in [1, 9], y Min= (b :- Edge(x, b));" + GRAPH, [(1, 2), (9, None)]),
     "full_outer_merge": ("A(1, 5); B(2, 6); Out(k:, a? ++= [v], b? ++= []) distinct :- A(k, v); Out(k:, a? ++= [], b? ++= [v]) distinct :- B(k, v);", [([5], [], 1), ([], [6], 2)]),
+    "combine_null_key": ("A(null); A(1); B(null, 5); B(1, 6); Out(x, m) :- A(x), m Max= (v :- B(x, v));", [(None, None), (1, 6)]),
+    "combine_filtered": ("A(1); A(2); B(1, 5); B(1, 7); B(2, 9); Out(x, m) :- A(x), m += (w :- B(x, v), v > 5, w == 2 * v);", [(1, 14), (2, 18)]),
     "combine_inequality": ("A(1); A(3); B(1); B(2); B(3); Out(a, n) :- A(a), n += (1 :- B(b), b <= a);", [(1, 1), (3, 3)]),
     "nested_combine": ("G(1, 10); G(1, 20); G(2, 30); Out(x) :- x Max= (s :- G(k, v), s == (combine += w :- G(k, w)));", [(30,)]),
     "list_combine": ("T([1, 2, 3]); T([]); Out(s) :- T(xs), s += (2 * x :- x in xs, x > 1);", [(10,), (None,)]),
