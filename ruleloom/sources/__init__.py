@@ -6,7 +6,7 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.lang.ast import ProgramError
@@ -82,6 +82,13 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
+def measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``stored``, with aggregates over the rows taken while they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]))
+    return out, seen.get
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back: one computation, no lineage."""
     path = f"{shared_dir(df.sparkSession)}/rules-{uuid.uuid4().hex}"
