@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from ruleloom.llm import simhash
+from ruleloom.llm import near_copies, simhash
+from ruleloom.llm.components import connected_components
 from ruleloom.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +52,36 @@ def test_one_row_of_a_repeated_id_stays(spark, odd):
 def test_names():
     assert set(oracle_sql()) <= set(queries())
     assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
+
+
+def test_near_copies_at_four_fifths_go(spark):
+    r = random.Random(5)
+    rows = []
+    for i in range(0, 120, 2):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.choice((30, 80, 300)))]
+        copy = list(words)
+        for _ in range(max(1, len(words) // 50)):
+            copy[r.randrange(len(words))] = "other"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(copy))]
+    rows += [(200 + i, " ".join([f"x{j}" for j in range(60)] + [f"own{i}"])) for i in range(40)]
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {k: shingles(t) for k, t in rows}
+    root = {k: k for k in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, SF).collect())
+    assert kept == sorted(set(root.values())) and 60 < len(kept) < 120
+    prints = near_copies.shingled(docs).cache()
+    nodes = prints.select("node", F.col("k").alias("rep"), "bands")
+    for chunk in (7, 1024):
+        parts = connected_components(near_copies.near_links(prints, nodes, chunk=chunk))
+        grouped = nodes.join(parts, "node").groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n")).collect()
+        assert sorted((x.least, x.n) for x in grouped) == sorted((k, n) for k, n in Counter(root.values()).items() if n > 1)
