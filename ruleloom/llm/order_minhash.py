@@ -9,6 +9,12 @@ selected pairs *in the same order*: the likeness, the share of agreeing slots
 among those that either text fills, falls with edit distance, not only with
 the overlap of sets.
 
+In a short text a slot is dealt fewer than ``pick`` pairs, and one pair alone
+holds no order.  With ``fill`` each slot ranks all pairs of the text, those
+dealt to it first and then the others by a hash of the slot's own, and selects
+the least ``pick``.  Such an order is as random as any, so every slot is a full
+Order MinHash selection from the whole text, and texts of any length compare.
+
 Everything happens inside a row, on arrays of longs: a k-mer's hash and its
 position share one long, so that sorting, numbering, dealing and selecting are
 sorts and scans of primitive arrays, linear (times a logarithm) in the text.
@@ -48,12 +54,14 @@ def _position(value: Column) -> Column:
     return value.bitwiseAND(F.lit((1 << POSITION_BITS) - 1).cast("bigint"))
 
 
-def with_order_minhash(df: DataFrame, text: str, out: str, k: int = 5, slots: int = 64, pick: int = 2) -> DataFrame:
+def with_order_minhash(df: DataFrame, text: str, out: str, k: int = 5, slots: int = 64, pick: int = 2, fill: bool = False) -> DataFrame:
     """``df`` with a column ``out``: an array of ``slots`` ints, null where a slot is empty.
 
     A null text counts as empty; an empty text has only empty slots.  Texts of
     fewer than ``k`` words, and the last words of any text, give shorter
-    k-mers.  Equal texts have equal fingerprints.
+    k-mers.  Equal texts have equal fingerprints.  With ``fill`` only an empty
+    text has empty slots, and only a text of fewer than ``pick`` words has
+    slots with fewer than ``pick`` pairs.
     """
     c = lambda name: f"__{out}_{name}"
     keep = df.columns
@@ -81,8 +89,18 @@ def with_order_minhash(df: DataFrame, text: str, out: str, k: int = 5, slots: in
     least = F.filter(p, lambda v, i: (i < pick) | (slot_of(F.get(p, i - pick)) != slot_of(v)))
     d = d.withColumn(c("l"), least)
     chosen = F.col(c("l"))
+    at = lambda i, v: F.shiftleft(i.cast("bigint"), 40).bitwiseOR(_position(v))
+    placed = F.transform(chosen, lambda v: at(slot_of(v), v))
+    if fill:
+        # slots that were dealt fewer than pick pairs, with their number of pairs; a slot's pairs stand together
+        full = F.transform(F.filter(chosen, lambda v, i: (i >= pick - 1) & (slot_of(F.get(chosen, i - (pick - 1))) == slot_of(v))), slot_of)
+        short = F.array_except(F.sequence(F.lit(0), F.lit(slots - 1)), full)
+        d = d.withColumn(c("n"), F.transform(short, lambda i: F.struct(i.alias("i"), F.size(F.filter(chosen, lambda v: slot_of(v) == i)).alias("n"))))
+        own = lambda e: F.transform(F.filter(p, lambda v: slot_of(v) != e["i"]), lambda v: _packed(F.xxhash64(_hash_part(v), e["i"]), _position(v)))
+        others = lambda e: F.transform(F.slice(F.sort_array(own(e)), F.lit(1), F.lit(pick) - e["n"]), lambda v: at(e["i"], v))
+        placed = F.concat(placed, F.flatten(F.transform(F.col(c("n")), others)))
     # in text order within each slot: (slot, position, index of the word)
-    ordered = F.sort_array(F.transform(chosen, lambda v: F.shiftleft(slot_of(v).cast("bigint"), 40).bitwiseOR(_position(v))))
+    ordered = F.sort_array(placed)
     d = d.withColumn(c("o"), ordered)
     o = F.col(c("o"))
     kmer = lambda v: F.xxhash64(*[F.get(w, _position(v).cast("int") + j) for j in range(k)])
@@ -157,12 +175,12 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ignored.
     """
     d = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    d = with_next(d, "k", lambda x: with_order_minhash(x, "t", "sketch", k, slots, pick))
+    d = with_next(d, "k", lambda x: with_order_minhash(x, "t", "sketch", k, slots, pick, fill=True))
     n = F.char_length("t")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("t"), F.lit(1), n - cut), F.substring(F.col("next.t"), F.lit(1), cut))
     d = d.select("k", n.cast("bigint").alias("n_chars"), "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
-    d = with_order_minhash(d, "edited", "edited_sketch", k, slots, pick)
+    d = with_order_minhash(d, "edited", "edited_sketch", k, slots, pick, fill=True)
     return d.select(
         F.col("k").alias(key),
         "n_chars",

@@ -145,6 +145,49 @@ def test_order_minhash_feels_order():
     assert like(a, b) < 0.8 and 0.05 < like(a, c) < like(a, b)
 
 
+def full_sketch(text, k=5, slots=64, pick=2):
+    """Brute force of the filled fingerprint: every slot ranks all pairs of the text."""
+    words = (text or "").encode().split()
+    hashed, numbered, seen = [], [], {}
+    for i in range(len(words)):
+        h = 42
+        for w in words[i : i + k]:
+            h = xxhash.xxh64_intdigest(w, h)
+        hashed.append(h)
+        top = h >> 25
+        seen[top] = seen.get(top, 0) + 1
+        numbered.append((xxhash.xxh64_intdigest(struct.pack("<i", seen[top]), xxhash.xxh64_intdigest(struct.pack("<q", top), 42)) >> 25, i))
+    out = [None] * slots
+    for s in range(slots if words else 0):
+        rank = lambda g, i, s=s: (0, g, i) if (g >> 7) * slots >> 32 == s else (1, xxhash.xxh64_intdigest(struct.pack("<i", s), xxhash.xxh64_intdigest(struct.pack("<q", g), 42)) >> 25, i)
+        h = 42
+        for i in sorted(i for *_, i in sorted(rank(g, i) for g, i in numbered)[:pick]):
+            h = xxhash.xxh64_intdigest(struct.pack("<Q", hashed[i]), h)
+        out[s] = h >> 32
+    return out
+
+
+def test_short_texts_feel_block_moves(spark, odd):
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    for n in (20, 40, 80, 150):
+        for i in range(20):
+            words = [f"w{n}x{i}x{j}" for j in range(n)]
+            rows += [(1000 * n + 2 * i, " ".join(words)), (1000 * n + 2 * i + 1, " ".join(words[n // 2 :] + words[: n // 2]))]
+    df = order_minhash.with_order_minhash(spark.createDataFrame(rows, "doc_id long, text string"), "text", "found", fill=True)
+    found = df.collect()
+    for r in found:
+        assert [None if x is None else x & 0xFFFFFFFF for x in r.found] == full_sketch(r.text), r.text
+    of = {r.doc_id: r.found for r in found}
+    for n in (20, 40, 80, 150):
+        moved = np.mean([np.mean([p == q for p, q in zip(of[1000 * n + 2 * i], of[1000 * n + 2 * i + 1], strict=True)]) for i in range(20)])
+        # a pair of k-mers agrees if both lie in the texts and in one half
+        kept, far = n - 8, n + 8
+        expected = 2 * (kept / 2) * (kept / 2 - 1) / (far * (far - 1))
+        assert abs(moved - expected) < 0.06, (n, moved, expected)
+    edits = {r.doc_id: r for r in order_minhash.fingerprint_edits(odd.where("doc_id < 8")).collect()}
+    assert edits[1].fingerprint == "".join(f"{x:08x}" for x in full_sketch(rows[0][1]))
+
+
 @pytest.mark.parametrize("rows", [12, 700])
 def test_fingerprint_edits(spark, odd, rows):
     docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
