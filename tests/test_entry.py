@@ -70,6 +70,18 @@ def test_graphs_against_brute_force(spark, seed):
     assert all(parts[a] == parts[b] for a, b in edges) and all(v <= k for k, v in parts.items())
 
 
+def test_recursion_over_all_orders(spark, tmp_path):
+    r = random.Random(3)
+    edges = [(k, r.choice((k + 100, k + 61, r.randrange(60)))) for k in range(0, 200, 2)] + [(1, 3), (3, 5), (5, 1), (7, 7)]
+    spark.createDataFrame(edges, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    far = brute_distances(edges)
+    assert {(1, 1), (7, 7)} <= set(far) and max(far.values()) > 3
+    found = entry.queries()["closure_all_orders"](spark, str(tmp_path))
+    assert sorted((x.x, x.y) for x in found.collect()) == sorted(far)
+    found = entry.queries()["distance_all_orders"](spark, str(tmp_path))
+    assert sorted((x.x, x.y, x.d) for x in found.collect()) == sorted((a, b, d) for (a, b), d in far.items())
+
+
 def test_same_generation(spark):
     parents = [(1, 0), (2, 0), (3, 1), (4, 1), (5, 2)]
     found = {tuple(x) for x in same_generation(spark.createDataFrame(parents, "x long, p long")).collect()}
