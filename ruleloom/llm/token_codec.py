@@ -2,35 +2,41 @@
 
 A block holds the ids of whole documents and stands alone: its model starts
 afresh and a checksum closes it, so any block can be lost, moved or read by
-itself.  Within a block the ids are cut into lanes that are coded in lockstep,
-which makes every step a handful of vector operations.
-
-Model.  The two previous ids of a lane give an order-2 prediction, the last one
-an order-1 prediction; both are the id last seen in that context, with a
-confidence.  Adaptive counts, by the two confidences and by whether the
-predictions agree, mix them with the order-0 distribution: a first symbol says
-which prediction holds, and an id that neither predicts is coded by adaptive
-order-0 frequencies.  All lanes share one model, which coder and decoder update
-alike.
+itself.  Within a block the ids are cut into lanes that are coded in lockstep
+and share one model, which makes every step a handful of vector operations.
+
+Model.  Three predictions are mixed for every id: order 2, the id last seen
+after the two previous ones, with a confidence that grows as it holds; order 1,
+the distribution of the ids seen after the previous one; order 0, the
+distribution of all ids.  The mixing weights are adaptive counts, renewed at
+every step, by the confidence of order 2 and by how much and how varied is what
+order 1 has seen.  An id's probability is the weight of the first prediction
+that holds it times its share there.  The distributions of order 0 and 1 are
+counted anew whenever the ids seen have grown by half.
 
 Coder.  A carry-less range coder with 64-bit state and 16-bit words; every lane
 has its own words, all their lengths stand in the block.
 
+Ids are numbered through the block, so any 32-bit ids will do: a block with
+more than 2^16 different ones is coded as its 16-bit halves in turn.
+
 Block layout (little endian): magic ``RLTB``, version, mode, lanes, ids,
-alphabet size, documents, crc32 of the ids as 32-bit integers, then document
-keys, key flags, document lengths, lane lengths, words.
+alphabet size, bytes of the alphabet, documents, crc32 of the ids as 32-bit
+integers, then document keys, key flags, document lengths, the alphabet's steps
+(deflated), lane lengths, words.
 """
 
 from __future__ import annotations
 
-
 import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -39,86 +45,104 @@ from pyspark.sql import functions as F
 from ruleloom.llm.common import materialize, partitions
 
 MAGIC = b"RLTB"
-HEAD = struct.Struct("<4sBBIIIII")
+HEAD = struct.Struct("<4sBBIIIIII")
 #: Ids in a block, unless one document alone has more.
 BLOCK_IDS = 1 << 21
-LANES = 8192
-FLAG_BITS, ID_BITS = 16, 20
-#: Larger alphabets are stored as they are.
-MOST_IDS = 1 << 18
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64((1 << 32) - 1)
-_HASH = np.uint64(0x9E3779B97F4A7C15)
+LANES = 4096
+#: Precision of the weights and of the distributions.
+FLAG_BITS, ID_BITS = 12, 18
+_BITS = FLAG_BITS + ID_BITS
+#: Different symbols in a block.
+MOST_SYMBOLS = 1 << 16
+_TOP, _BOTTOM, _WORD = np.uint64(1 << 48), np.uint64((1 << 32) - 1), np.uint64(16)
+_FULL, _NONE, _ONE = np.uint64(1 << ID_BITS), np.uint64(0), np.uint64(1)
+_LOW = np.uint64((1 << 20) - 1)
+_SHIFT, _ALL = np.uint64(_BITS), np.uint64((1 << _BITS) - 1)
 _ORDER2 = 18
-#: Steps between refreshes of the mixing weights, once a block has begun.
-_MIX_STEPS = 8
+#: Contexts of the weights: four confidences of order 2, sixteen states of order 1.
+_CONTEXTS = 64
+#: Change of confidence: four where the guess failed, four where it held.
+_CHANGE = np.array([0, 0, -2, -2, 1, 1, 1, 0], np.int32)
+#: Steps of an encoder's look-ups at once.
+_AHEAD = 16
+
+
+def _order2(before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
+    return ((before2 << np.uint32(16) | before1) * np.uint32(0x9E3779B1) >> np.uint32(32 - _ORDER2)).astype(np.int64)
+
+
+def _shares(total: np.ndarray, before: np.ndarray, bits, different, place: np.ndarray) -> np.ndarray:
+    """Where a symbol's share begins in 2^bits: in proportion to the counts before it, at least one each."""
+    return before * ((1 << bits) - different) // np.maximum(total, 1) + place
+
+
+def _packed(cum: np.ndarray, freq: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Begin and size of a share, and whose it is, in one number: one look-up gets all."""
+    return (ids << 40 | freq << 20 | cum).astype(np.uint64)
+
+
+def _cum(packed: np.ndarray) -> np.ndarray:
+    return packed & _LOW
+
+
+def _freq(packed: np.ndarray) -> np.ndarray:
+    return packed >> np.uint64(20) & _LOW
 
 
 class _Model:
-    """Predictions and frequencies, alike in coder and decoder."""
-
-    def __init__(self, size: int, lanes: int, slots: bool):
-        self.size, self.slots = size, slots
-        self.second = np.zeros(1 << _ORDER2, np.int32)
-        self.first = np.zeros(size + 1, np.int32)
-        self.before1 = np.full(lanes, size, np.int64)
-        self.before2 = np.full(lanes, size, np.int64)
-        self.flags = np.tile(np.array([2, 1, 4], np.int64), (32, 1))
-        self.codes: list[np.ndarray] = []
+    """Predictions and their weights, alike in coder and decoder."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.second = np.zeros(1 << _ORDER2, np.int32)  # (id + 1, confidence)
+        self.flags = np.repeat(np.array([2, 4, 2], np.int64), _CONTEXTS)
         self.counts = np.zeros(size, np.int64)
-        self.seen, self.pending, self.next = 0, [], 0
-        self.refresh()
-        self.mix()
-
-    def refresh(self) -> None:
-        """Order-0 frequencies from the counts; rarer and rarer as ids arrive."""
-        if self.pending:
-            self.counts += np.bincount(np.concatenate(self.pending), minlength=self.size)
-            self.pending = []
-        room = (1 << ID_BITS) - self.size
-        total = max(1, int(self.counts.sum()) + self.size)
-        freq = 1 + ((self.counts + 1) * room) // total if self.seen else 1 + np.full(self.size, room // self.size)
-        freq[int(np.argmax(freq))] += (1 << ID_BITS) - int(freq.sum())
-        self.freq = freq.astype(np.uint64)
-        self.cum = (np.cumsum(freq) - freq).astype(np.uint64)
-        if self.slots:
-            self.slot = np.repeat(np.arange(self.size, dtype=np.int32), freq)
-        self.next = max(4096, min(2 * self.seen, self.seen + (1 << 18)))
-
-    def mix(self) -> None:
-        total = self.flags.sum(axis=1, keepdims=True)
-        freq = 1 + (self.flags * ((1 << FLAG_BITS) - 3)) // total
-        freq[:, 2] += (1 << FLAG_BITS) - freq.sum(axis=1)
-        self.flag_freq = freq.astype(np.uint64)
-        self.flag_cum = (np.cumsum(freq, axis=1) - freq).astype(np.uint64)
-
-    def predict(self, n: int) -> None:
-        """For the first n lanes (the last step may be short)."""
-        self.at2 = ((self.before2[:n].astype(np.uint64) * np.uint64(0x100003) + self.before1[:n].astype(np.uint64)) * _HASH >> np.uint64(64 - _ORDER2)).astype(np.int64)
-        self.at1 = self.before1[:n]
-        a, b = self.second[self.at2], self.first[self.at1]
-        self.guess2, self.guess1 = (a >> 2) - 1, (b >> 2) - 1
-        self.sure2, self.sure1 = a & 3, b & 3
-        self.context = (self.sure2 << 3) | (self.sure1 << 1) | (self.guess2 == self.guess1)
-
-    def update(self, ids: np.ndarray, flag: np.ndarray) -> None:
-        n = len(ids)
-        hit2, hit1 = self.guess2 == ids, self.guess1 == ids
-        up = np.minimum(self.sure2 + 1, 3)
-        self.second[self.at2] = np.where(hit2, (self.guess2 + 1 << 2) | up, np.where(self.sure2 > 1, (self.guess2 + 1 << 2) | (self.sure2 - 2), (ids + 1) << 2))
-        up = np.minimum(self.sure1 + 1, 3)
-        self.first[self.at1] = np.where(hit1, (self.guess1 + 1 << 2) | up, np.where(self.sure1 > 1, (self.guess1 + 1 << 2) | (self.sure1 - 2), (ids + 1) << 2))
-        self.codes.append(self.context * 3 + flag)
-        if len(self.codes) == _MIX_STEPS or self.seen < 1 << 16:
-            self.flags += np.bincount(np.concatenate(self.codes), minlength=96).reshape(32, 3)
-            self.codes = []
-            if self.flags.max() > 1 << 20:
-                self.flags = (self.flags >> 1) + 1
-            self.mix()
-        self.before2[:n], self.before1[:n] = self.before1[:n].copy(), ids
-        self.pending.append(ids)
-        self.seen += n
-        if self.seen >= self.next:
-            self.refresh()
+        self.seen, self.next = 0, 8192
+        self.count_order0()
+        self.state = np.zeros(size, np.int64)
+        self.weigh()
+
+    def weigh(self) -> None:
+        a, b, c = self.flags.reshape(3, _CONTEXTS)
+        total, room = a + b + c, (1 << FLAG_BITS) - 3
+        a, b = 1 + a * room // total, 1 + b * room // total
+        self.bound1, self.bound2 = a, a + b
+        self.weight = np.concatenate((a, b, (1 << FLAG_BITS) - self.bound2)).astype(np.uint64)
+        self.below = (np.concatenate((np.zeros(_CONTEXTS, np.int64), a, self.bound2)) << ID_BITS).astype(np.uint64)
+
+    def count_order0(self) -> None:
+        cum = np.r_[0, np.cumsum(2 * self.counts + 1)]
+        self.edges = _shares(cum[-1], cum, ID_BITS, self.size, np.arange(self.size + 1))
+        self.share0 = _packed(self.edges[:-1], np.diff(self.edges), np.arange(self.size))
+        self.next = max(8192, self.seen + self.seen // 2)
+
+    def count_order1(self, row: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """From pairs in ascending order: the id before (``row``), the id, how often each pair was seen."""
+        different = np.bincount(row, minlength=self.size)
+        self.start = np.cumsum(different) - different
+        cum = np.r_[0, np.cumsum(count)]
+        total = cum[self.start + different] - cum[self.start]
+        # every row has 2^k slots, four to eight for each of its ids
+        self.k = np.ceil(np.log2(np.maximum(4 * different, 1))).astype(np.int64)
+        k = self.k[row]
+        self.slots1 = _shares(total[row], cum[:-1] - cum[self.start[row]], k, different[row], np.arange(len(row)) - self.start[row])
+        end = np.r_[self.slots1[1:], 0]
+        last = (self.start + different - 1)[different > 0]
+        end[last] = 1 << k[last]
+        self.wide1 = end - self.slots1
+        self.share1 = _packed(self.slots1 << ID_BITS - k, self.wide1 << ID_BITS - k, ids)
+        varied = np.minimum(4 * different // np.maximum(total, 1), 3)
+        self.state = 4 * (4 * np.searchsorted([1, 8, 64], total, "right") + varied)
+
+    def learn(self, at: np.ndarray, guess: np.ndarray, hit: np.ndarray, ids1: np.ndarray, code: np.ndarray) -> None:
+        """``ids1`` are the ids plus one, ``code`` is the context and the prediction that held."""
+        after = guess + _CHANGE[hit * np.int64(4) + (guess & 3)]
+        lost = (guess & 2) == 0
+        lost &= ~hit
+        self.second[at] = np.where(lost, ids1 << 2, after)
+        self.flags += np.bincount(code, minlength=3 * _CONTEXTS)
+        self.weigh()
+        self.seen += len(at)
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -133,49 +157,131 @@ def _lanes(n: int, lanes: int) -> np.ndarray:
     return np.arange(lanes) * each + np.minimum(np.arange(lanes), more)
 
 
+def _settled(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The lanes whose first word is settled, or whose range is too narrow to go on."""
+    differ = low + width
+    differ ^= low
+    out = differ < _TOP
+    out |= width <= _BOTTOM
+    return np.flatnonzero(out)
+
+
+def _shifted(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """State after a word has gone; a range over the word's border is cut off there."""
+    over = (low ^ (low + width)) >= _TOP
+    if over.any():
+        width[over] = (~low[over] + _ONE) & _BOTTOM
+    return low << _WORD, width << _WORD
+
+
+def _numbered_pairs(before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each pair in ascending order, first and second id of each different pair)."""
+    both = before.astype(np.uint64) << np.uint64(48) | ids.astype(np.uint64) << np.uint64(32) | np.arange(len(ids), dtype=np.uint64)
+    both.sort()
+    pairs = (both >> np.uint64(32)).astype(np.uint32)
+    first = np.r_[True, pairs[1:] != pairs[:-1]]
+    number = np.empty(len(ids), np.int32)
+    number[both.astype(np.uint32)] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    pairs = pairs[first].astype(np.int64)
+    return number, pairs >> 16, pairs & 0xFFFF
+
+
 def compress(ids: np.ndarray, size: int) -> tuple[int, np.ndarray, np.ndarray]:
     """(lanes, words of each lane, all words by lane) of ids below ``size``."""
     n = len(ids)
     lanes, steps = _shape(n)
     start = _lanes(n, lanes)
     full = n - lanes * (steps - 1)  # lanes that take the last step
-    model = _Model(size, lanes, False)
+    table = np.zeros((steps + 2, lanes), np.uint32)
+    for t in range(steps - 1):
+        table[t + 2] = ids[start + t]
+    table[steps + 1, :full] = ids[start[:full] + steps - 1]
+    pair, row, second = _numbered_pairs(table[1:-1].reshape(-1)[:n], table[2:].reshape(-1)[:n])
+    pair = np.r_[pair, np.zeros(lanes * steps - n, np.int32)].reshape(steps, lanes)
+    count = np.zeros(len(row), np.int64)
+    share1 = np.zeros(len(row), np.uint64)
+    model = _Model(size)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
     out_lane, out_word = [], []
-
-    def put(at, cum, freq, bits) -> None:
-        lo, r = low[at], width[at] >> np.uint64(bits)
-        lo = lo + r * cum
-        r = r * freq
-        left = np.flatnonzero(((lo ^ (lo + r)) < _TOP) | (r <= _BOTTOM))
-        names = np.arange(lanes)[at] if isinstance(at, slice) else at
-        while len(left):
-            x, w = lo[left], r[left]
-            w = np.where((x ^ (x + w)) < _TOP, w, (~x + np.uint64(1)) & _BOTTOM)
-            out_lane.append(names[left])
-            out_word.append((x >> np.uint64(48)).astype(np.uint16))
-            x, w = x << np.uint64(16), w << np.uint64(16)
-            lo[left], r[left] = x, w
-            left = left[((x ^ (x + w)) < _TOP) | (w <= _BOTTOM)]
-        low[at], width[at] = lo, r
-
-    ids = ids.astype(np.int32)
-    for step in range(steps):
-        k = lanes if step < steps - 1 else full
-        now = ids[start[:k] + step]
-        model.predict(k)
-        flag = np.where(model.guess2 == now, 0, np.where(model.guess1 == now, 1, 2))
-        put(slice(0, k), model.flag_cum[model.context, flag], model.flag_freq[model.context, flag], FLAG_BITS)
-        rest = np.flatnonzero(flag == 2)
-        if len(rest):
-            put(rest, model.cum[now[rest]], model.freq[now[rest]], ID_BITS)
-        model.update(now, flag)
+    t = counted = 0
+    while t < steps:
+        ahead = min(steps - t, _AHEAD, -(-(model.next - model.seen) // lanes))
+        x, before1 = table[t + 2 : t + ahead + 2], table[t + 1 : t + ahead + 1]
+        at, x1, p = _order2(table[t : t + ahead], before1), x.astype(np.int32) + np.int32(1), pair[t : t + ahead]
+        share = share1[p]
+        known = share > _NONE
+        share = np.where(known, share, model.share0[x])
+        cum, freq = _cum(share), _freq(share)
+        flag, state = np.where(known, _CONTEXTS, 2 * _CONTEXTS), model.state[before1]
+        for j in range(ahead):
+            now = slice(0, lanes if t + j < steps - 1 else full)
+            where, c, f = at[j, now], cum[j, now], freq[j, now]
+            guess = model.second[where]
+            hit = (guess >> 2) == x1[j, now]
+            code = state[j, now] + (guess & 3)
+            code += flag[j, now] * ~hit
+            np.putmask(c, hit, _NONE)
+            np.putmask(f, hit, _FULL)
+            weight = model.weight[code]
+            c *= weight
+            c += model.below[code]
+            f *= weight
+            r = width[now] >> _SHIFT
+            lo = r * c
+            lo += low[now]
+            r *= f
+            left = _settled(lo, r)
+            while len(left):
+                a, w = lo[left], r[left]
+                out_lane.append(left)
+                out_word.append((a >> np.uint64(48)).astype(np.uint16))
+                a, w = _shifted(a, w)
+                lo[left], r[left] = a, w
+                left = left[_settled(a, w)]
+            low[now], width[now] = lo, r
+            model.learn(where, guess, hit, x1[j, now], code)
+        t += ahead
+        if model.seen >= model.next and t < steps:
+            new = slice(counted * lanes, t * lanes)
+            count += np.bincount(pair.reshape(-1)[new], minlength=len(row))
+            model.counts += np.bincount(table[2:].reshape(-1)[new], minlength=size)
+            counted = t
+            model.count_order0()
+            there = np.flatnonzero(count)
+            model.count_order1(row[there], second[there], count[there])
+            share1[there] = model.share1
     for _ in range(4):
         out_lane.append(np.arange(lanes))
         out_word.append((low >> np.uint64(48)).astype(np.uint16))
-        low <<= np.uint64(16)
+        low <<= _WORD
     lane, word = np.concatenate(out_lane), np.concatenate(out_word)
-    return lanes, np.bincount(lane, minlength=lanes), word[np.argsort(lane, kind="stable")]
+    return lanes, np.bincount(lane, minlength=lanes), word[np.argsort(lane.astype(np.uint16), kind="stable")]
+
+
+class _Pairs:
+    """Pairs that a decoder has seen, in ascending order, and their slots."""
+
+    def __init__(self, size: int):
+        self.size = np.uint32(size)
+        self.keys, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def add(self, before: np.ndarray, ids: np.ndarray, model: _Model) -> None:
+        new = np.sort(before * self.size + ids)
+        first = np.flatnonzero(np.r_[True, new[1:] != new[:-1]])
+        keys = np.concatenate((self.keys, new[first]))
+        count = np.concatenate((self.count, np.diff(np.r_[first, len(new)])))
+        order = np.argsort(keys, kind="stable")
+        keys, count = keys[order], count[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        self.keys, self.count = keys[first], np.add.reduceat(count, first)
+        row = (self.keys // self.size).astype(np.int64)
+        model.count_order1(row, self.keys.astype(np.int64) - row * int(self.size), self.count)
+        slots = np.where(np.diff(np.r_[model.start, len(row)]) > 0, 1 << model.k, 0)
+        self.base, self.shift = np.cumsum(slots) - slots, ID_BITS - model.k
+        self.pair_at = np.repeat(np.arange(len(row), dtype=np.int32), model.wide1)
+
+    def find(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
+        return self.pair_at[self.base[before] + (target >> self.shift[before])]
 
 
 def expand(n: int, size: int, lanes: int, lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -183,82 +289,120 @@ def expand(n: int, size: int, lanes: int, lengths: np.ndarray, words: np.ndarray
     steps = -(-n // lanes)
     start = _lanes(n, lanes)
     full = n - lanes * (steps - 1)
-    model = _Model(size, lanes, True)
+    model, pairs = _Model(size), _Pairs(size)
+    slot0 = np.repeat(np.arange(size, dtype=np.uint16), np.diff(model.edges))
     words = np.r_[words.astype(np.uint64), np.zeros(8, np.uint64)]
     at_word = np.cumsum(lengths) - lengths
     low, width, code = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64), np.zeros(lanes, np.uint64)
     for _ in range(4):
-        code = code << np.uint64(16) | words[at_word]
+        code = code << _WORD | words[at_word]
         at_word += 1
+    table = np.zeros((steps + 2, lanes), np.uint32)
+    counted = 0
+    for t in range(steps):
+        now = slice(0, lanes if t < steps - 1 else full)
+        before1 = table[t + 1, now]
+        where = _order2(table[t, now], before1)
+        guess = model.second[where]
+        context = model.state[before1] + (guess & 3)
+        r = width[now] >> _SHIFT
+        value = (code[now] - low[now]) // r
+        np.minimum(value, _ALL, out=value)
+        part = (value >> np.uint64(ID_BITS)).astype(np.int64)
+        flag = (part >= model.bound1[context]).astype(np.int64)
+        flag += part >= model.bound2[context]
+        held = context + flag * _CONTEXTS
+        weight, c = model.weight[held], model.below[held]
+        target = ((value - c).astype(np.float64) / weight).astype(np.int64)  # exact: both are below 2^30
+        x, f = ((guess >> 2) - 1).astype(np.uint32), np.full(len(where), _FULL)
+        i = np.flatnonzero(flag == 1)
+        if len(i):
+            if not len(pairs.keys):
+                raise ValueError("a block of token ids is damaged")
+            share = model.share1[pairs.find(before1[i], target[i])]
+            x[i], f[i] = share >> np.uint64(40), _freq(share)
+            c[i] += _cum(share) * weight[i]
+        i = np.flatnonzero(flag == 2)
+        if len(i):
+            share = model.share0[slot0[target[i]]]
+            x[i], f[i] = share >> np.uint64(40), _freq(share)
+            c[i] += _cum(share) * weight[i]
+        if x.max() >= size:
+            raise ValueError("a block of token ids is damaged")
+        lo = r * c
+        lo += low[now]
+        f *= weight
+        r *= f
+        given = code[now]
+        left = _settled(lo, r)
+        while len(left):
+            a, w = _shifted(lo[left], r[left])
+            at = at_word[left]
+            given[left] = given[left] << _WORD | words[np.minimum(at, len(words) - 1)]
+            at_word[left] = at + 1
+            lo[left], r[left] = a, w
+            left = left[_settled(a, w)]
+        low[now], width[now] = lo, r
+        table[t + 2, now] = x
+        model.learn(where, guess, flag == 0, (x + np.uint32(1)).astype(np.int32), held)
+        if model.seen >= model.next and t < steps - 1:
+            new = table[counted + 2 : t + 3].reshape(-1)
+            model.counts += np.bincount(new, minlength=size)[:size]
+            model.count_order0()
+            slot0 = np.repeat(np.arange(size, dtype=np.uint16), np.diff(model.edges))
+            pairs.add(table[counted + 1 : t + 2].reshape(-1), new, model)
+            counted = t + 1
+    out = np.zeros(n, np.uint32)
+    for t in range(steps):
+        k = lanes if t < steps - 1 else full
+        out[start[:k] + t] = table[t + 2, :k]
+    return out
 
-    def value(at, bits) -> np.ndarray:
-        return np.minimum((code[at] - low[at]) // (width[at] >> np.uint64(bits)), np.uint64((1 << bits) - 1))
 
-    def take(at, cum, freq, bits) -> None:
-        lo, r, c = low[at], width[at] >> np.uint64(bits), code[at]
-        lo = lo + r * cum
-        r = r * freq
-        left = np.flatnonzero(((lo ^ (lo + r)) < _TOP) | (r <= _BOTTOM))
-        if len(left):
-            names = np.arange(lanes)[at] if isinstance(at, slice) else at
-            while len(left):
-                x, w, who = lo[left], r[left], names[left]
-                w = np.where((x ^ (x + w)) < _TOP, w, (~x + np.uint64(1)) & _BOTTOM)
-                c[left] = c[left] << np.uint64(16) | words[at_word[who]]
-                at_word[who] += 1
-                x, w = x << np.uint64(16), w << np.uint64(16)
-                lo[left], r[left] = x, w
-                left = left[((x ^ (x + w)) < _TOP) | (w <= _BOTTOM)]
-        low[at], width[at], code[at] = lo, r, c
-
-    out = np.zeros(n, np.int32)
-    for step in range(steps):
-        k = lanes if step < steps - 1 else full
-        model.predict(k)
-        at = slice(0, k)
-        v = value(at, FLAG_BITS)
-        cum = model.flag_cum[model.context]
-        flag = (v >= cum[:, 1]).astype(np.int64) + (v >= cum[:, 2])
-        take(at, cum[np.arange(k), flag], model.flag_freq[model.context, flag], FLAG_BITS)
-        now = np.where(flag == 0, model.guess2, model.guess1)
-        rest = np.flatnonzero(flag == 2)
-        if len(rest):
-            found = model.slot[value(rest, ID_BITS).astype(np.int64)]
-            take(rest, model.cum[found], model.freq[found], ID_BITS)
-            now[rest] = found
-        out[start[:k] + step] = now
-        model.update(now, flag)
-    return out
+def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the different ids in order, number of each id)."""
+    if int(ids.max()) < 1 << 22:
+        symbols = np.flatnonzero(np.bincount(ids))
+        number = np.zeros(int(symbols[-1]) + 1, np.uint32)
+        number[symbols] = np.arange(len(symbols), dtype=np.uint32)
+        return symbols, number[ids]
+    symbols, number = np.unique(ids, return_inverse=True)
+    return symbols.astype(np.int64), number.astype(np.uint32)
 
 
 def pack_block(keys: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """One block of whole documents; ids are unsigned 32-bit integers."""
-    ids = np.asarray(ids, dtype=np.uint32)
-    size = int(ids.max()) + 1 if len(ids) else 1
-    check = zlib.crc32(ids.astype("<u4").tobytes())
+    ids = np.asarray(ids, dtype="<u4")
+    check = zlib.crc32(ids.tobytes())
     table = np.array([k or 0 for k in keys], "<i8").tobytes() + bytes(k is None for k in keys) + np.array(lengths, "<u4").tobytes()
-    if size > MOST_IDS or not len(ids):
-        return HEAD.pack(MAGIC, 1, 0, 0, len(ids), size & 0xFFFFFFFF, len(keys), check) + table + ids.astype("<u4").tobytes()
-    lanes, each, words = compress(ids, size)
-    return HEAD.pack(MAGIC, 1, 1, lanes, len(ids), size, len(keys), check) + table + each.astype("<u4").tobytes() + words.astype("<u2").tobytes()
+    if not len(ids):
+        return HEAD.pack(MAGIC, 2, 0, 0, 0, 0, 0, len(keys), check) + table
+    mode, (symbols, numbers) = 1, _alphabet(ids)
+    if len(symbols) > MOST_SYMBOLS:
+        mode, (symbols, numbers) = 2, _alphabet(ids.view("<u2").astype(np.uint32))
+    steps = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes())
+    lanes, each, words = compress(numbers, len(symbols))
+    return HEAD.pack(MAGIC, 2, mode, lanes, len(ids), len(symbols), len(steps), len(keys), check) + table + steps + each.astype("<u4").tobytes() + words.astype("<u2").tobytes()
 
 
 def unpack_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(keys, lengths, ids) of a block; raises if it isn't whole."""
-    magic, version, mode, lanes, n, size, docs, check = HEAD.unpack_from(block)
-    if magic != MAGIC or version != 1:
+    magic, version, mode, lanes, n, size, deflated, docs, check = HEAD.unpack_from(block)
+    if magic != MAGIC or version != 2:
         raise ValueError("not a block of token ids")
     at = HEAD.size
     keys = np.frombuffer(block, "<i8", docs, at)
     null = np.frombuffer(block, np.uint8, docs, at + 8 * docs)
     lengths = np.frombuffer(block, "<u4", docs, at + 9 * docs).astype(np.int64)
     at += 13 * docs
-    if mode == 0:
-        ids = np.frombuffer(block, "<u4", n, at)
-    else:
+    ids = np.zeros(0, "<u4")
+    if mode:
+        symbols = np.cumsum(np.frombuffer(zlib.decompress(block[at : at + deflated]), "<u4").astype(np.int64))
+        at += deflated
         each = np.frombuffer(block, "<u4", lanes, at).astype(np.int64)
         words = np.frombuffer(block, "<u2", int(each.sum()), at + 4 * lanes)
-        ids = expand(n, size, lanes, each, words).astype("<u4")
+        numbers = expand(n * mode, size, lanes, each, words)
+        ids = symbols.astype("<u4")[numbers] if mode == 1 else symbols.astype("<u2")[numbers].view("<u4")
     if zlib.crc32(ids.tobytes()) != check or int(lengths.sum()) != n:
         raise ValueError("a block of token ids is damaged")
     return [None if z else int(k) for k, z in zip(keys, null, strict=True)], lengths, ids
@@ -270,10 +414,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: Pieces in each of the two generations of the cache.
-CACHED_PIECES = 300_000
+#: Different pieces that an encoder remembers before it starts afresh.
+CACHED_PIECES = 750_000
+#: A word and the marks behind it: a byte-level tokenizer splits between them.
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 #: Bytes of text that are split into pieces at once.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 23
 
 
 class Encoder:
@@ -282,12 +428,13 @@ class Encoder:
     A byte-level tokenizer splits before any space that a visible character
     follows, so a text's ids are those of its space-separated pieces in turn.
     Arrow finds the distinct pieces of some texts; new ones are encoded
-    together, many in a call, and told apart by their bytes, and a cache of two
-    generations keeps the frequent ones.  Texts with runs of white space around
-    a space, and tokenizers of other kinds, are encoded whole.
+    together, many in a call, and told apart by their bytes, and remembered.
+    Texts with runs of white space around a space, and tokenizers of other
+    kinds, are encoded whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -300,30 +447,70 @@ class Encoder:
             self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
             for token, i in self.tokenizer.get_vocab().items():
                 self.bytes_of[i] = len(token)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """No pieces: place 0 stands for those that can't be encoded alone."""
+        self.place: dict[str, int] = {}
+        self.marks: dict[str, int] = {}
+        self.ids, self.start, self.size = np.zeros(1 << 20, "<u4"), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.used, self.places = 0, 1
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces, each with a space before it."""
-        new = []
-        for p in pieces:
-            known = self.old.get(p)
-            if known is None:
-                new.append(p)
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Keep the ids of some pieces; returns the place of the first."""
+        first, n = self.places, len(sizes)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+        while first + n > len(self.start):
+            self.start, self.size = np.r_[self.start, np.zeros_like(self.start)], np.r_[self.size, np.zeros_like(self.size)]
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[first : first + n], self.size[first : first + n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+        self.places += n
+        return first
+
+    def _kept(self, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The ids at some places, one after the other; ``lengths`` may leave out some."""
+        stops = np.cumsum(lengths)
+        return self.ids[np.repeat(self.start[places] - stops + lengths, lengths) + np.arange(int(stops[-1]) if len(stops) else 0)]
+
+    def _encode_pieces(self, names: list[str]) -> None:
+        """Encode pieces together, each with a space before it."""
+        pieces = pa.array(names, pa.string())
+        sizes = pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        cuts = np.unique(np.r_[np.arange(0, len(names), 512), len(names)])
+        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pieces), " ").to_pylist()
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([" " + g for g in groups], add_special_tokens=False)])
+        # a piece ends with the token that ends at its last byte
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes), "left") + 1
+        first = self._add(ids, np.diff(ends, prepend=0))
+        self.place.update(zip(names, range(first, first + len(names)), strict=True))
+
+    def _learn(self, names: list[str]) -> None:
+        """Places for new pieces; a word with marks behind it is put together from both."""
+        alone, marked, words = [], [], {}
+        for p in names:
+            if not p or p[0].isspace():
+                self.place[p] = 0
+            elif m := _MARKED(p):
+                marked.append((p, *m.groups()))
+                words[m[1]] = None
             else:
-                self.young[p] = known
-        groups = ["".join([" " + p for p in new[i : i + 512]]) for i in range(0, len(new), 512)]
-        for k, e in enumerate(self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)):
-            some, ids = new[512 * k : 512 * k + 512], np.array(e.ids, "<u4")
-            ends = np.cumsum(self.bytes_of[ids])
-            stops = np.searchsorted(ends, np.cumsum([1 + len(p.encode("utf-8", "surrogatepass")) for p in some]), "left") + 1
-            raw, at = ids.tobytes(), 0
-            for p, stop in zip(some, (4 * stops).tolist(), strict=True):
-                self.young[p] = raw[at:stop]
-                at = stop
+                alone.append(p)
+        alone = [*dict.fromkeys([*alone, *(w for w in words if w not in self.place)])]
+        if alone:
+            self._encode_pieces(alone)
+        for mark in {m for _, _, m in marked} - self.marks.keys():
+            ids = np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, "<u4")
+            self.marks[mark] = self._add(ids, np.array([len(ids)]))
+        if marked:
+            parts = np.array([(self.place[w], self.marks[m]) for _, w, m in marked], np.int64)
+            sizes = self.size[parts]
+            first = self._add(self._kept(parts.reshape(-1), sizes.reshape(-1)), sizes.sum(axis=1))
+            self.place.update(zip([p for p, _, _ in marked], range(first, first + len(marked)), strict=True))
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -339,29 +526,24 @@ class Encoder:
         return out
 
     def _some(self, texts: pa.Array) -> list[bytes]:
-        if len(self.young) > CACHED_PIECES:
-            self.young, self.old = {}, self.young
+        if self.places > CACHED_PIECES:
+            self._forget()
         pieces = pc.split_pattern(texts, " ")
         flat = pieces.flatten().dictionary_encode()
         number = flat.indices.to_numpy(zero_copy_only=False)
         ends = np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))
         first = np.r_[0, ends[:-1]]
-        names = flat.dictionary.to_pylist()
-        found = list(map(self.young.get, names))
-        unknown, odd = [], np.zeros(len(names), bool)
-        for i in [i for i, v in enumerate(found) if v is None]:
-            if not names[i] or names[i][0].isspace():
-                odd[i], found[i] = True, b""
-            else:
-                unknown.append(i)
-        self._learn([names[i] for i in unknown])
-        for i in unknown:
-            found[i] = self.young[names[i]]
+        names = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+        unknown = np.flatnonzero(place < 0).tolist()
+        new = [names[i] for i in unknown]
+        self._learn(new)
+        place[unknown] = [self.place[p] for p in new]
         # a text with white space next to a space is encoded whole, others piece by piece
-        whole = np.add.reduceat(odd[number].astype(np.int64), first) > 0
-        ids = np.frombuffer(b"".join(found), "<u4")
-        size = np.array(list(map(len, found)), np.int64) >> 2
-        start = np.cumsum(size) - size
+        odd = (place == 0).astype(np.int64)
+        whole = np.add.reduceat(odd[number], first) > 0
+        size = self.size[place]
+        ids, start = self._kept(place, size), np.cumsum(size) - size
         length = size[number]
         length[first] = 0
         stops = np.cumsum(length)
@@ -386,8 +568,9 @@ def write_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", token
 
     Returns the written table ``(file_no, block_no, n_ids, block)``: file
     ``f`` holds the keys between those of files ``f - 1`` and ``f + 1``, its
-    blocks are numbered in order.  Texts are range-partitioned by key; no task
-    holds more than a block and a batch of texts.
+    blocks are numbered in order.  Rows are range-partitioned by key and by
+    where they were read, so a key with very many rows (null, for one) spreads
+    over files; no task holds more than a block and a batch of texts.
     """
     path = tokenizer_path or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
@@ -418,7 +601,7 @@ def write_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", token
             yield block()
 
     d = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t"))
-    d = d.repartitionByRange(partitions(docs.sparkSession), "k").sortWithinPartitions("k")
+    d = d.withColumn("n", F.monotonically_increasing_id()).repartitionByRange(partitions(docs.sparkSession), "k", "n").sortWithinPartitions("k", "n").select("k", "t")
     return materialize(d.mapInArrow(run, "file_no int, block_no int, n_ids bigint, block binary"), "ids")
 
 
@@ -429,14 +612,16 @@ def read_blocks(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     the blocks' sizes in two levels: files, then blocks of a file.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f, b, packed in zip(batch["file_no"], batch["block_no"], batch["block"], strict=True):
+            for f, b, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 keys, lengths, ids = unpack_block(packed)
-                raw, ends = memoryview(ids.astype("<u4", copy=False).tobytes()), np.cumsum(lengths)
+                raw, ends = memoryview(ids.tobytes()), np.cumsum(lengths)
                 begins = ends - lengths
                 crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]
-                yield pd.DataFrame({"f": f, "b": b, "k": pd.array(keys, dtype="Int64"), "at": begins, "n_tokens": lengths, "ids_crc32": crc})
+                n = len(keys)
+                row = [pa.array(np.full(n, f, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(keys, pa.int64()), pa.array(begins), pa.array(lengths), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(row, ["f", "b", "k", "at", "n_tokens", "ids_crc32"])
 
     sizes = blocks.select("file_no", "block_no", "n_ids")
     files = sizes.groupBy("file_no").agg(F.sum("n_ids").alias("in_file"))
@@ -445,7 +630,7 @@ def read_blocks(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     w = Window.partitionBy("file_no").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("in_file", F.coalesce(F.sum("n_ids").over(w), F.lit(0)))
     starts = starts.join(files, F.col("file_no") == F.col("f")).select("file_no", "block_no", (F.col("file_start") + F.col("in_file")).alias("block_start"))
-    read = blocks.select("file_no", "block_no", "block").mapInPandas(run, "f int, b int, k bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
+    read = blocks.select("file_no", "block_no", "block").mapInArrow(run, "f int, b int, k bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
     placed = read.join(starts, (F.col("file_no") == F.col("f")) & (F.col("block_no") == F.col("b")))
     return placed.select(F.col("k").alias(key), (F.col("block_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -456,6 +641,6 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenize
     A null or empty text has only the end id.  Null keys come first; rows that
     repeat a key follow each other in any order.  An empty table gives an
     empty result; other columns are ignored.  A document longer than a block
-    gets a block of its own.
+    gets a block of its own, so a task's memory grows with its longest text.
     """
     return read_blocks(write_blocks(docs, key, text, tokenizer_path, end_id, block_ids), key)
