@@ -12,7 +12,11 @@ reproduced.
 No piece reaches over the end of a word into the next space, so the lattice of
 a text falls into those of its words; the distinct words of a batch are
 filtered together, one position at a time, and all their occurrences are drawn
-together, one backward step at a time.
+together, one backward step at a time.  A word's sums and shares depend on
+nothing but the word, and a draw on nothing but its row's key, the place in the
+text and the shares, so a row's segmentation doesn't depend on its neighbours.
+Very long words (texts without spaces) are filtered and drawn one by one, in
+time linear in their length.
 Spaces are spaces: nothing is normalised, added or dropped, a literal piece
 mark in a text is written as bytes, and decoding gives back every text.
 """
@@ -20,6 +24,7 @@ mark in a text is written as bytes, and decoding gives back every text.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+#: Characters of a word from which it is filtered and drawn alone.
+LONG = 256
 #: Bytes of text that are sampled at once.
 AT_ONCE = 1 << 20
 _WORD = re.compile(r" *[^ \n]+| +|\n")
@@ -126,9 +133,10 @@ class Sampler:
         """Forward filtering of many words at once.
 
         Boundaries are numbered through all words.  Returns (end boundary of
-        each word, log-sum at each boundary, and for the edges, sorted by end:
-        cumulated share plus number of the boundary, piece, source boundary or
-        -1 for a word's start).
+        each word, log-sum at each boundary, first edge and number of edges that
+        end at each boundary, and for the edges, sorted by end: share cumulated
+        over the boundary's edges, piece, source boundary or -1 for a word's
+        start).
         """
         size = np.array([len(w) for w in words], np.int64)
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -172,7 +180,10 @@ class Sampler:
         share = np.zeros(len(target))
         by_size = np.argsort(-size, kind="stable")
         ordered, sizes = base[by_size], -size[by_size]
-        for k in range(1, int(size.max(initial=0)) + 1):
+        short = np.where(size < LONG, size, 0)
+        by_size = np.argsort(-short, kind="stable")
+        ordered, sizes = base[by_size], -short[by_size]
+        for k in range(1, int(short.max(initial=0)) + 1):
             # the boundaries after k characters, of all words that are as long
             at = ordered[: np.searchsorted(sizes, -k, "right")] + k
             n = edges[at]
@@ -184,19 +195,38 @@ class Sampler:
             summed = np.add.reduceat(e, some)
             total[at] = top + np.log(summed)
             share[pick] = e / np.repeat(summed, n)
-        # cumulated shares by end boundary, the last of each boundary exactly one
-        grown = np.cumsum(share)
-        begins = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
-        grown -= np.repeat(np.r_[0.0, grown[begins[1:] - 1]], np.diff(np.r_[begins, len(target)]))
-        grown[np.r_[begins[1:] - 1, len(target) - 1]] = 1.0
+        for i in np.flatnonzero(size >= LONG).tolist():
+            self._filter_long(int(base[i]), int(size[i]), edges, first_edge, source, weight, total, share)
+        # cumulated shares of each boundary's edges, edge by edge
+        for k in range(1, int(edges.max(initial=0))):
+            at = first_edge[edges > k] + k
+            share[at] += share[at - 1]
         at_start = np.zeros(bounds, bool)
         at_start[base] = True
-        return base + size, total, target + np.minimum(grown, 1.0) * (1 - 2.0**-20), piece, np.where(at_start[source], -1, source)
+        return base + size, total, first_edge, edges, share, piece, np.where(at_start[source], -1, source)
+
+    @staticmethod
+    def _filter_long(start: int, size: int, edges, first_edge, source, weight, total, share) -> None:
+        """Forward filtering of one word, character by character."""
+        low, stop = int(first_edge[start + 1]), int(first_edge[start + size] + edges[start + size])
+        n, back, w = edges[start + 1 : start + size + 1].tolist(), (source[low:stop] - start).tolist(), weight[low:stop].tolist()
+        sums, shares, at, exp, log = [0.0], [], 0, math.exp, math.log
+        for count in n:
+            values = [sums[back[i]] + w[i] for i in range(at, at + count)]
+            top = max(values)
+            parts = [exp(v - top) for v in values]
+            whole = sum(parts)
+            sums.append(top + log(whole))
+            shares += [p / whole for p in parts]
+            at += count
+        total[start : start + size + 1] = sums
+        share[low:stop] = shares
 
     def sample(self, keys: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
         number_of: dict[str, int] = defaultdict(itertools.count().__next__)
         which: list[int] = []
+        long_words: dict[int, list[int]] = {}
         counts, seeds = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.uint64)
         for t, (k, text) in enumerate(zip(keys, texts, strict=True)):
             parts = _WORD.findall(text)
@@ -205,15 +235,26 @@ class Sampler:
             seeds[t] = xxhash.xxh64_intdigest(k.encode(), 0)
         if not which:
             return np.zeros(0, np.int32), counts
-        last, _, cdf, piece, source = self.lattices(list(number_of))
-        start = np.repeat(np.cumsum(counts) - counts, counts)
-        counter = np.repeat(seeds, counts) + (np.arange(len(which)) - start).astype(np.uint64) * np.uint64(1 << 20)
-        state, alive = last[np.array(which, np.int64)], np.arange(len(which))
+        last, _, first_edge, edges, share, piece, source = self.lattices(list(number_of))
+        which = np.array(which, np.int64)
+        size = np.array([len(w) for w in number_of], np.int64)[which]
+        # a word takes one number a step, as many as it has characters at most: its place in the text is its stream
+        before = np.cumsum(size) - size
+        starts = np.cumsum(counts) - counts
+        place = before - np.repeat(np.r_[before, 0][starts], counts)
+        counter = np.repeat(seeds, counts) + place.astype(np.uint64)
+        state, alive = last[which], np.flatnonzero(size < LONG)
+        state = state[alive]
         taken_by, taken = [], []
         length, step = np.zeros(len(which), np.int64), 0
         while len(alive):
+            edge = first_edge[state]
+            end = edge + edges[state] - 1
             u = _uniform(counter[alive] + np.uint64(step))
-            edge = np.searchsorted(cdf, state + u * (1 - 2.0**-20), "left")
+            on = np.flatnonzero((share[edge] <= u) & (edge < end))
+            while len(on):
+                edge[on] += 1
+                on = on[(share[edge[on]] <= u[on]) & (edge[on] < end[on])]
             taken_by.append(alive)
             taken.append(piece[edge])
             length[alive] += 1
@@ -221,10 +262,16 @@ class Sampler:
             more = state >= 0
             alive, state = alive[more], state[more]
             step += 1
+        for i in np.flatnonzero(size >= LONG).tolist():
+            found = self._draw_long(int(last[which[i]]), int(size[i]), counter[i], first_edge, edges, share, piece, source)
+            length[i] = len(found)
+            long_words[i] = found
         ends = np.cumsum(length)
         out = np.zeros(int(ends[-1]), np.int64)
         for k, (who, ids) in enumerate(zip(taken_by, taken, strict=True)):
             out[ends[who] - 1 - k] = ids
+        for i, found in long_words.items():
+            out[ends[i] - len(found) : ends[i]] = found[::-1]
         of_text = np.add.reduceat(np.r_[length, 0], np.cumsum(counts) - counts) * (counts > 0)
         bare = np.flatnonzero(out < 0)
         if len(bare):  # characters without a piece become bytes
@@ -238,6 +285,23 @@ class Sampler:
             out = wide
         return out.astype(np.int32), of_text
 
+    @staticmethod
+    def _draw_long(state: int, size: int, counter: np.uint64, first_edge, edges, share, piece, source) -> list[int]:
+        """Backward sampling of one word: its pieces from the last to the first."""
+        u = _uniform(counter + np.arange(size, dtype=np.uint64)).tolist()
+        start = state - size
+        low, stop = int(first_edge[start + 1]), int(first_edge[state] + edges[state])
+        first, n = (first_edge[start : state + 1] - low).tolist(), edges[start : state + 1].tolist()
+        shares, pieces, back = share[low:stop].tolist(), piece[low:stop].tolist(), source[low:stop].tolist()
+        found, at = [], size
+        while at > 0:
+            edge, end, x = first[at], first[at] + n[at] - 1, u[len(found)]
+            while shares[edge] <= x and edge < end:
+                edge += 1
+            found.append(pieces[edge])
+            at = back[edge] - start
+        return found
+
     def decode(self, ids) -> str:
         surface = self.surface
         return b"".join([surface[i] for i in ids]).decode("utf-8", "surrogatepass")
@@ -259,7 +323,8 @@ def sampled_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", mod
     ``lossless`` says that decoding it gave the text back.  Null and empty
     texts have no ids (and are lossless).  Equal texts with different keys are
     drawn apart; rows that repeat a key and text repeat the segmentation.  An
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored.  A task's
+    memory grows with its longest text.
     """
     path = model_path or default_model()
 
