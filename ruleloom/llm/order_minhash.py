@@ -23,13 +23,14 @@ Occurrence numbers of repeated k-mers come from a running maximum by doubling.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Low bits for a position; the rest of a (positive) long is hash.
-POSITION_BITS = 24
+#: Low bits for a position, more than a text of 2 GB has words; the rest of a (positive) long is hash.
+POSITION_BITS = 30
 HASH_BITS = 63 - POSITION_BITS
 
 
@@ -137,30 +138,43 @@ def _range_bucket(key: Column, cuts: Column, size: int) -> Column:
 def with_next(df: DataFrame, key: str, prepare: Callable[[DataFrame], DataFrame] = lambda d: d, rows_a_bucket: int = 128, most_buckets: int = 16_384) -> DataFrame:
     """``prepare(df)`` with a struct ``next`` of its columns in the next row by descending key.
 
-    The last row's next is the first.  The order is global but no task sees
-    more than a bucket: keys are cut at approximate quantiles (at most
-    ``most_buckets`` values reach the driver), the head of each bucket joins
-    the bucket above it as a guest, and rows look ahead within their bucket.
-    The rows are exchanged once.  Rows that repeat a key follow each other in
-    the order of a hash; null keys come last.
+    The last row's next is the first.  Null keys come last; rows that repeat a
+    key follow each other in the order of a hash.  The order is global but no
+    task sees more than a bucket: keys are cut at approximate quantiles, a key
+    that holds several of them gets a bucket of its own, and such a bucket, like
+    that of null keys, is cut by the hash.  The head of each bucket joins the
+    bucket before it as a guest, and rows look ahead within their bucket.  The
+    rows are exchanged once.  At most ``most_buckets`` quantiles reach the
+    driver; with more rows than that buckets hold more of them, sorted on disk.
     """
-    n = df.count()
+    df = df.withColumn("__h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    n, nulls = df.agg(F.count(F.lit(1)), F.count_if(F.col(key).isNull())).first()
     size = max(1, min(most_buckets, n // rows_a_bucket))
-    cuts = sorted(set(df.agg(F.percentile_approx(key, F.expr(f"array({','.join(f'{i / size}D' for i in range(1, size))})"), F.lit(10 * size))).first()[0] or [])) if size > 1 else []
+    quantiles = (df.agg(F.percentile_approx(key, F.expr(f"array({','.join(f'{i / size}D' for i in range(1, size))})"), F.lit(10 * size))).first()[0] or []) if size > 1 else []
+    # a key that is more than one quantile holds more than a bucket's rows
+    held = {q: c + 1 for q, c in Counter(quantiles).items() if c > 1}
+    cuts = sorted({*quantiles, *held, *(q + 1 for q in held)})
+    pieces = F.lit(1)
+    if held:
+        pieces = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast(t) for q, c in held.items() for x, t in ((q, "bigint"), (c, "int"))]), F.col(key)), F.lit(1))
+    pieces = F.when(F.col(key).isNull(), F.lit(max(1, -(-nulls * size // max(1, n))))).otherwise(pieces)
+    piece = F.floor(F.shiftrightunsigned("__h", 32) * pieces / float(1 << 32)).cast("int")
     at = F.expr(f"array({','.join(f'{c}L' for c in cuts)})") if cuts else None
     bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(_range_bucket(F.col(key), at, len(cuts)) if cuts else F.lit(0))
-    d = df.withColumn("__bucket", bucket)
-    # one row a bucket: at most most_buckets + 1
-    heads = d.groupBy("__bucket").agg(F.max(key).alias("__head"))
+    # buckets in the order of rows: keys descend, hashes ascend
+    d = df.withColumn("__bucket", F.struct((-bucket).alias("b"), piece.alias("p")))
+    # one row a bucket
+    first = F.min(F.struct((-F.col(key)).alias("k"), F.col("__h").alias("h")))
+    heads = d.groupBy("__bucket").agg(first.alias("f"))
     order = Window.orderBy("__bucket")
     around = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("__head", F.coalesce(F.lead("__bucket").over(order), F.first("__bucket").over(around)).alias("__host"))
-    guests = df.join(F.broadcast(heads), df[key].eqNullSafe(F.col("__head"))).drop("__head").withColumnRenamed("__host", "__bucket")
+    heads = heads.select((-F.col("f.k")).alias("__head"), F.col("f.h").alias("__first"), F.coalesce(F.lag("__bucket").over(order), F.last("__bucket").over(around)).alias("__host"))
+    guests = df.join(F.broadcast(heads), df[key].eqNullSafe(F.col("__head")) & (F.col("__h") == F.col("__first"))).drop("__head", "__first").withColumnRenamed("__host", "__bucket")
     both = d.withColumn("__guest", F.lit(0)).unionByName(guests.withColumn("__guest", F.lit(1)))
     both = prepare(both)
-    columns = [c for c in both.columns if c not in ("__bucket", "__guest")]
-    w = Window.partitionBy("__bucket").orderBy("__guest", F.col(key).desc_nulls_last(), F.xxhash64(*columns))
-    return both.withColumn("next", F.lead(F.struct(*[F.col(c) for c in columns])).over(w)).where("__guest = 0").drop("__bucket", "__guest")
+    columns = [c for c in both.columns if c not in ("__bucket", "__guest", "__h")]
+    w = Window.partitionBy("__bucket").orderBy("__guest", F.col(key).desc_nulls_last(), "__h")
+    return both.withColumn("next", F.lead(F.struct(*[F.col(c) for c in columns])).over(w)).where("__guest = 0").drop("__bucket", "__guest", "__h")
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, slots: int = 64, pick: int = 2) -> DataFrame:
@@ -170,9 +184,10 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
     by as many of the first ones (or all) of the next document by descending
     key; the last document's next is the first.  Returns ``(key, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``.
-    Null texts count as empty; a single document is its own next.  Repeated
-    rows are kept, an empty table gives an empty result, and other columns are
-    ignored.
+    Null texts count as empty; a single document is its own next.  Null keys
+    come last, rows that repeat a key in the order of a hash.  Texts of any
+    length are read whole.  Repeated rows are kept, an empty table gives an
+    empty result, and other columns are ignored.
     """
     d = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     d = with_next(d, "k", lambda x: with_order_minhash(x, "t", "sketch", k, slots, pick, fill=True))
