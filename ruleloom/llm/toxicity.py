@@ -1,15 +1,21 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on windows of ordinary text, one on
-windows that are typical of toxic text.  A window is compressed with the
-ordinary dictionary and with the ordinary one extended by the toxic one; the
-bytes that the toxic part saves are its distance.  A text is judged by how many
-of its windows (of one and of four words) save at least t bytes, for a few
-thresholds t; a logistic model, fitted on other labelled texts than those that
-made the dictionaries, calibrates these counts to a probability.
-
-The model is fitted on the driver from a bounded sample of labelled rows
-(``Limits``): its size doesn't grow with the data.  Scoring reads every whole
+those words of toxic text that ordinary text rarely has, in their proportions.
+A window is compressed with the ordinary dictionary and with the ordinary one
+extended by the toxic one; the bytes that the toxic part saves are its distance.
+A text is judged by how many of its windows (of one and of four words) save at
+least t bytes, for a few thresholds t; a logistic model, fitted on other
+labelled texts than those that made the dictionaries, calibrates these counts
+to a probability.
+
+A toxic dictionary trained on whole toxic windows, against a separate ordinary
+one, was tried first: most of a toxic text is ordinary, so such a dictionary is
+filled with ordinary words, and what it lacks of the other's drowns the signal
+(figures in the README).
+
+The model is fitted on the driver from a bounded number of labelled rows
+(``Limits``), of which it reads the whole texts.  Scoring reads every whole
 text, in any order, with one small model a task.
 """
 
@@ -31,16 +37,16 @@ from ruleloom.llm.common import materialize
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the fitting sample, and sizes of the dictionaries."""
+    """Bounds of the fitting sample in rows, and sizes of the dictionaries."""
 
     toxic_rows: int = 3000
     ordinary_rows: int = 6000
-    #: of each sampled text; scoring has no such bound
-    chars: int = 10_000
     dictionary_bytes: int = 24_576
     toxic_bytes: int = 6_000
     #: how much likelier a typical word is in toxic texts: the value that calibrates best is kept
     ratios: tuple[float, ...] = (10.0, 30.0, 60.0)
+    #: a typical word is in at least this share of the toxic texts
+    least_share: float = 0.002
 
 
 #: Words of a window, and thresholds of saved bytes for windows of that size.
@@ -81,7 +87,7 @@ class Model:
     def features(self, text: str | None) -> np.ndarray:
         plain, toxic = self._compressors()
         words = _words(text)
-        out = [np.log1p(len(words))]
+        out = []
         for width, thresholds in WINDOWS:
             saved = np.array([len(plain(w)) - len(toxic(w)) for w in _windows(words, width)] or [0])
             for t in thresholds:
@@ -122,20 +128,18 @@ def fit_model(texts: list[str | None], toxic: list[int], limits: Limits = Limits
     good = [texts[i] for i in order if not toxic[i]]
     if not bad or not good:
         base = b" "
-        size = 1 + sum(2 * len(t) for _, t in WINDOWS)
+        size = sum(2 * len(t) for _, t in WINDOWS)
         return Model(base, base, np.r_[6.0 if bad else -6.0, np.zeros(size)])
     made = lambda rows: rows[::2] if len(rows) > 1 else rows
     used = lambda rows: rows[1::2] if len(rows) > 1 else rows
-    rows = np.random.RandomState(7)
     ordinary = [w for t in made(good) for w in _windows(_words(t), 4)]
-    ordinary = [ordinary[i] for i in rows.permutation(len(ordinary))[:40_000]]
     in_bad, in_good = Counter(), Counter()
     for t in made(bad):
         in_bad.update({b" " + w + b" " for w in _words(t)})
     for t in made(good):
         in_good.update({b" " + w + b" " for w in _words(t)})
     share = len(made(good)) / len(made(bad))
-    least = 3 if len(bad) > 50 else 1
+    least = max(1, round(limits.least_share * len(made(bad))))
     base = _dictionary(limits.dictionary_bytes, ordinary)
     kept = [(t, 1) for t in used(bad)] + [(t, 0) for t in used(good)]
     y = np.array([label for _, label in kept], float)
@@ -144,7 +148,7 @@ def fit_model(texts: list[str | None], toxic: list[int], limits: Limits = Limits
         typical = [w for w, n in sorted(in_bad.items()) if n >= least and n * share > ratio * (in_good[w] + 1) for _ in range(n)]
         if not typical and found:
             continue
-        typical = [typical[i] for i in np.random.RandomState(11).permutation(len(typical))[:200_000]]
+        typical = [typical[i] for i in np.random.RandomState(11).permutation(len(typical))]
         samples = [b"".join(typical[i : i + 16]).replace(b"  ", b" ") for i in range(0, len(typical), 16)]
         model = Model(base, _dictionary(limits.toxic_bytes, samples), np.zeros(1))
         x = np.array([model.features(t) for t, _ in kept])
@@ -161,14 +165,17 @@ def fold(key) -> F.Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limits: Limits, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list, list]:
     """A bounded sample of labelled rows outside fold 0, by hash of the key."""
-    known = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull() & (fold(F.col("k")) != 0))
+    # a key may be labelled more than once: each of its labels counts once
+    known = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull() & (fold(F.col("k")) != 0)).distinct()
     picked = None
     for value, rows in ((1, limits.toxic_rows), (0, limits.ordinary_rows)):
         some = known.where(F.col("y") == value).orderBy(F.xxhash64("k"), "k").limit(rows)
         picked = some if picked is None else picked.union(some)
     # at most toxic_rows + ordinary_rows keys
     picked = materialize(picked.coalesce(1), "labelled")
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.substring(F.col(f"`{text}`"), 1, limits.chars).alias("t")).join(F.broadcast(picked), "k").select("k", "t", "y").limit(2 * (limits.toxic_rows + limits.ordinary_rows)).collect()
+    # of rows that repeat a key one text, by its hash: as many rows as keys at most
+    texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(picked), "k")
+    rows = texts.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t")).select("k", "t", "y").collect()
     rows = sorted(rows, key=lambda r: (r[0], r[1] or "", r[2]))
     return [r[1] for r in rows], [int(r[2]) for r in rows]
 
@@ -193,7 +200,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     windows.  Ties (equal texts) have equal scores.  Without labelled rows of
     one class the score is constant.  A null key is never held out.  Repeated
     rows are kept, an empty table gives an empty result, and other columns are
-    ignored.
+    ignored.  Long texts are read whole, one at a time.
     """
     model = fit_model(*labelled_sample(docs, labels, limits, key, text), limits)
     held = F.coalesce(fold(F.col(f"`{key}`")) == 0, F.lit(False)).alias("held_out")
