@@ -48,7 +48,7 @@ MAGIC = b"RLTB"
 HEAD = struct.Struct("<4sBBIIIIII")
 #: Ids in a block, unless one document alone has more.
 BLOCK_IDS = 1 << 21
-LANES = 4096
+LANES = 8192
 #: Precision of the weights and of the distributions.
 FLAG_BITS, ID_BITS = 12, 18
 _BITS = FLAG_BITS + ID_BITS
@@ -64,7 +64,7 @@ _CONTEXTS = 64
 #: Change of confidence: four where the guess failed, four where it held.
 _CHANGE = np.array([0, 0, -2, -2, 1, 1, 1, 0], np.int32)
 #: Steps of an encoder's look-ups at once.
-_AHEAD = 16
+_AHEAD = 8
 
 
 def _order2(before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
@@ -415,7 +415,7 @@ def default_tokenizer() -> str:
 
 
 #: Different pieces that an encoder remembers before it starts afresh.
-CACHED_PIECES = 750_000
+CACHED_PIECES = 1_200_000
 #: A word and the marks behind it: a byte-level tokenizer splits between them.
 _MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 #: Bytes of text that are split into pieces at once.
