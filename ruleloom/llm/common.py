@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,11 +21,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests, local runs) a temporary folder is set.
+    Where the session has none a temporary folder is set, on a local master
+    only: on a cluster the executors' folders are not the driver's.
     """
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ruleloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="ruleloom-"))
     return context.getCheckpointDir().get()
 
 
@@ -55,6 +60,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns: extra columns of the input never reach an operator."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+#: Parts into which a join deals the rows of one key.
+SALTS = 8
+
+
+def salted_join(rows: DataFrame, lines: DataFrame, key: str, line_key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the one line of their key, by any distribution of keys.
+
+    A key may hold most of the rows (the hub of a component, the texts without
+    words): its rows are dealt into ``SALTS`` parts in turn, and every line goes
+    to each part.  Lines are narrow and unique by key.
+    """
+    dealt = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    copied = lines.withColumn("__part", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return dealt.join(copied, (F.col(key) == F.col(line_key)) & (F.col("__salt") == F.col("__part")), how).drop("__salt", "__part")

@@ -4,9 +4,9 @@ Works on any orderable node type with DataFrame operations only.  Each round
 attaches larger neighbours, then smaller ones, to the least node that a node
 sees, until every component is a star around its least node; the number of
 rounds is logarithmic in the graph's diameter in practice.  Every round is a
-written table, so lineage stays short and lost executors cost one round.  A
-node with very many links is a skewed join key, which adaptive execution
-splits; no neighbour list is ever gathered in one place.
+written table, so lineage stays short and lost executors cost one round.  The
+links of a node with very many are dealt into parts for the join with what it
+sees; no neighbour list is ever gathered in one place.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import discard, materialize
+from ruleloom.llm.common import discard, materialize, salted_join
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -24,13 +24,13 @@ def _signature(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    joined = both.join(least, F.col("u") == F.col("w")).where("v > u")
+    joined = salted_join(both.where("v > u"), least, "u", "w")
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-    moved = edges.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = salted_join(edges, least, "u", "w").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
 
 

@@ -11,6 +11,14 @@ from ruleloom.llm import mixing, order_minhash, pii, simhash, sp_sampling, token
 from ruleloom.llm.common import read_table
 
 
+#: Session setting that holds the secret of pseudonyms; without it the standard query uses a public one.
+PSEUDONYM_KEY = "spark.ruleloom.pseudonyms.key"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    return spark.conf.get(PSEUDONYM_KEY, "public key of the standard query")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -37,7 +45,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(read_table(spark, sf_dir, "documents"))
+    return pii.pseudonymize(read_table(spark, sf_dir, "documents"), pseudonym_key(spark))
 
 
 def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,23 +79,29 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN address IN (SELECT
 """
 
 OP9_SQL = """
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, (CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END)::DOUBLE AS weight FROM d GROUP BY source),
+WITH d AS (SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS rows,
+  (CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END)::DOUBLE AS weight FROM d GROUP BY source),
 r AS (SELECT *, source_size * 2.0::DOUBLE AS room, 1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE AS goal FROM s),
 f AS (SELECT *, row_number() OVER (ORDER BY room / weight, source IS NULL, encode(source)) AS n FROM r),
-l AS (SELECT *, (goal - coalesce(sum(room) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+l AS (SELECT *, (goal - coalesce(sum(room) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
 o AS (SELECT min(n) FILTER (level * weight <= room) AS first_open FROM l),
 t AS (SELECT l.*, CASE WHEN n >= first_open THEN least(room, (SELECT level FROM l JOIN o ON n = first_open) * weight) ELSE room END AS target FROM l, o),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
-x AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.source, floor(q.rate)::BIGINT AS whole, q.rate - floor(q.rate) AS p, q.target - floor(q.rate) * q.source_size AS rest,
-  (('0x' || md5(d.doc_id::VARCHAR)[1:13])::BIGINT + 0.5) / 4503599627370496.0 AS u FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-y AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id) AS upto FROM x)
-SELECT doc_id, size, source_size, target, ((whole + CASE WHEN p > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM y
+x AS (SELECT d.doc_id, d.size, q.source_size, q.rows, q.target, q.source, floor(q.rate)::BIGINT AS whole, q.rate - floor(q.rate) AS p, q.target - floor(q.rate) * q.source_size AS rest,
+  (('0x' || md5(coalesce(d.doc_id::VARCHAR, '') || '|' || md5(coalesce(d.text, '')))[1:13])::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+odds AS (SELECT *, (u / (1 - u)) / ((p / (1 - p)) * (greatest(size, 1) / (source_size / rows))) AS ratio FROM x WHERE p > 0 AND p < 1),
+ranked AS (SELECT *, floor(ratio / (1 + ratio) * 4503599627370496.0::DOUBLE)::BIGINT AS place FROM odds),
+summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place) AS upto, sum(size) OVER (PARTITION BY source, place) AS here FROM ranked)
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN upto - here / 2.0 <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM summed
+UNION ALL SELECT doc_id, size, source_size, target, (whole * size)::BIGINT FROM x WHERE NOT (p > 0 AND p < 1)
 """
 
 OP10_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(c::DOUBLE * 256)::BIGINT) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda c: floor(c::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 5
 """

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import materialize, partitions
+from ruleloom.llm.common import materialize, partitions, salted_join
 from ruleloom.llm.components import connected_components
 
 SEED = 42
@@ -177,16 +177,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     ``component_id`` is the least key reachable through links, the document's
     own key included.  Null and empty texts have fingerprint 0 and are linked
     like any other.  A null key keeps its row; it never becomes a component id
-    unless all keys of the component are null.  Repeated rows are kept.  An
-    empty table gives an empty result; other columns are ignored.
+    unless all keys of the component are null.  Repeated rows are kept.  Texts
+    of any length are read whole.  An empty table gives an empty result; other
+    columns are ignored.
     """
     prints = materialize(fingerprints(docs, key, text, width), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min(key).alias("rep"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min(key).alias("rep")), "nodes")
     parts = connected_components(near_links(nodes.select("fp"), distance))
-    roots = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = roots.join(least, "root").select(F.col("fp").alias("node_fp"), "component_id")
-    return prints.join(of, F.col("fp") == F.col("node_fp"), "left").select(key, "fp", "component_id")
+    of = least_of_component(nodes, parts)
+    return salted_join(prints, of.withColumnRenamed("node", "node_fp"), "fp", "node_fp").select(key, "fp", "component_id")
+
+
+def least_of_component(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """``(node, component_id)``: the least ``rep`` of each node's component.
+
+    ``nodes`` has a node in its first column and ``rep``; ``parts`` is what
+    ``connected_components`` found.  Nodes without links keep their own.
+    """
+    nodes = nodes.select(F.col(nodes.columns[0]).alias("own"), "rep")
+    linked = materialize(nodes.join(parts, F.col("own") == F.col("node")).select("own", "rep", "component"), "linked")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "root")
+    found = salted_join(linked, least, "component", "root").select(F.col("own").alias("node"), "component_id")
+    alone = nodes.join(linked.select(F.col("own").alias("seen")), F.col("own") == F.col("seen"), "left_anti")
+    return materialize(found.unionByName(alone.select(F.col("own").alias("node"), F.col("rep").alias("component_id"))), "members")
 
 
 def hex_digits(fp):

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import itertools
 import math
 import random
 import struct
+import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from ruleloom.llm import mixing, order_minhash, pii, simhash, sp_sampling, token_codec, token_counts, topk, toxicity, url_filter
@@ -112,14 +116,14 @@ def sketch(text, k=5, slots=64, pick=2):
         hashed.append(h)
     seen, numbered = {}, []
     for i, h in enumerate(hashed):
-        top = h >> 25
+        top = h >> 31
         seen[top] = seen.get(top, 0) + 1
-        g = xxhash.xxh64_intdigest(struct.pack("<i", seen[top]), xxhash.xxh64_intdigest(struct.pack("<q", top), 42)) >> 25
+        g = xxhash.xxh64_intdigest(struct.pack("<i", seen[top]), xxhash.xxh64_intdigest(struct.pack("<q", top), 42)) >> 31
         numbered.append((g, i))
     numbered.sort()
     groups = {}
     for g, i in numbered:
-        group = groups.setdefault((g >> 7) * slots >> 32, [])
+        group = groups.setdefault((g >> 1) * slots >> 32, [])
         if len(group) < pick:
             group.append(i)
     out = [None] * slots
@@ -154,12 +158,12 @@ def full_sketch(text, k=5, slots=64, pick=2):
         for w in words[i : i + k]:
             h = xxhash.xxh64_intdigest(w, h)
         hashed.append(h)
-        top = h >> 25
+        top = h >> 31
         seen[top] = seen.get(top, 0) + 1
-        numbered.append((xxhash.xxh64_intdigest(struct.pack("<i", seen[top]), xxhash.xxh64_intdigest(struct.pack("<q", top), 42)) >> 25, i))
+        numbered.append((xxhash.xxh64_intdigest(struct.pack("<i", seen[top]), xxhash.xxh64_intdigest(struct.pack("<q", top), 42)) >> 31, i))
     out = [None] * slots
     for s in range(slots if words else 0):
-        rank = lambda g, i, s=s: (0, g, i) if (g >> 7) * slots >> 32 == s else (1, xxhash.xxh64_intdigest(struct.pack("<i", s), xxhash.xxh64_intdigest(struct.pack("<q", g), 42)) >> 25, i)
+        rank = lambda g, i, s=s: (0, g, i) if (g >> 1) * slots >> 32 == s else (1, xxhash.xxh64_intdigest(struct.pack("<i", s), xxhash.xxh64_intdigest(struct.pack("<q", g), 42)) >> 31, i)
         h = 42
         for i in sorted(i for *_, i in sorted(rank(g, i) for g, i in numbered)[:pick]):
             h = xxhash.xxh64_intdigest(struct.pack("<Q", hashed[i]), h)
@@ -188,6 +192,23 @@ def test_short_texts_feel_block_moves(spark, odd):
     assert edits[1].fingerprint == "".join(f"{x:08x}" for x in full_sketch(rows[0][1]))
 
 
+def test_next_rows_of_repeated_and_null_keys(spark):
+    r = random.Random(1)
+    rows = [(r.choice([None, 5, 5, 5, i, i]), f"text {i}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    out = order_minhash.with_next(df, "k", rows_a_bucket=16).collect()
+    assert Counter((x.k, x.t) for x in out) == Counter(rows)
+    of = {(x.k, x.t): (x.next.k, x.next.t) for x in out}
+    # one ring through all rows, keys descending, nulls last
+    at, seen = max((k, t) for k, t in rows if k is not None), []
+    while at not in seen[:1]:
+        seen.append(at)
+        at = of[at]
+    turn = next(i for i, (k, _) in enumerate(seen) if i and seen[i - 1][0] is None and k is not None) if seen[-1][0] is not None else 0
+    keys = [k for k, _ in seen[turn:] + seen[:turn]]
+    assert len(seen) == len(rows) and keys == sorted([k for k in keys if k is not None], reverse=True) + [None] * keys.count(None)
+
+
 @pytest.mark.parametrize("rows", [12, 700])
 def test_fingerprint_edits(spark, odd, rows):
     docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
@@ -252,14 +273,28 @@ def test_codec_large_ids_and_damage():
 
 def test_codec_compresses():
     ids = np.tile(np.random.RandomState(0).randint(0, 5000, 500), 40)
-    assert len(token_codec.pack_block([1], [len(ids)], ids)) < 2 * len(ids) * 0.8
+    assert len(token_codec.pack_block([1], [len(ids)], ids)) < 2 * len(ids) * 0.7
+
+
+def test_codec_beats_order_0_and_zstandard():
+    texts = duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' order by doc_id").fetchall()
+    ids = np.frombuffer(b"".join(token_codec.Encoder(token_codec.default_tokenizer()).encode([t for (t,) in texts])), "<u4")
+    bits = 8 * len(token_codec.pack_block([1], [len(ids)], ids)) / len(ids)
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert bits < 0.85 * -(share * np.log2(share)).sum()
+    assert bits < 0.85 * 8 * len(zstandard.compress(ids.astype("<u2").tobytes(), 3)) / len(ids)
+
+
+def test_codec_takes_many_different_ids():
+    ids = np.random.RandomState(2).permutation(200_000).astype(np.uint32) * np.uint32(20_000)
+    assert (token_codec.unpack_block(token_codec.pack_block([1], [len(ids)], ids))[2] == ids).all()
 
 
 def test_encoder_equals_library():
     e = token_codec.Encoder(token_codec.default_tokenizer())
     from tests.llm.conftest import ODD_TEXTS
 
-    texts = [t for _, t in ODD_TEXTS if t] + ["a \n b", "a\n \nb c", " lead", "trail ", "x <|endoftext|> y", "tab\t here", "it's  we'll", "nb\u00a0sp \u3000wide"]
+    texts = [t for _, t in ODD_TEXTS if t] + ["a \n b", "a\n \nb c", " lead", "trail ", "x <|endoftext|> y", "tab\t here", "it's  we'll", "nb\u00a0sp \u3000wide", "don't, we've. a_b c_ x's. it's.. 'q' (a) b) c... \u024f, \u1f08, \u65e5, \xdf? x\xb2, \xbd."]
     whole = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert e.encode(texts) == whole and e.encode(texts) == whole
 
@@ -374,7 +409,7 @@ def shape(s):
 
 def test_pseudonyms_keep_format_and_link(spark):
     rows = [(i, f"before {v} after {v}.") for i, v in enumerate(VALUES)] + [(99, VALUES[0])]
-    out = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "secret").collect()}
     for i, v in enumerate(VALUES):
         new = out[i].text[7:].split(" after ")
         assert out[i].n_found == 2 and new[0] == new[1][:-1] != v, v
@@ -389,22 +424,116 @@ def test_pseudonyms_keep_format_and_link(spark):
 
 def test_pseudonyms_are_permutations(spark):
     d = spark.range(1000)
-    short = d.select(pii.permuted(F.lpad(F.col("id").cast("string"), 3, "0")).alias("x"))
+    short = d.select(pii.permuted(F.lpad(F.col("id").cast("string"), 3, "0"), "secret").alias("x"))
     assert short.distinct().count() == 1000
-    days = d.select(pii.pseudonym(F.date_format(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")), "dd/MM/yyyy")).alias("x"))
+    days = d.select(pii.pseudonym(F.date_format(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")), "dd/MM/yyyy"), "secret").alias("x"))
     assert days.distinct().count() == 1000
-    ips = d.select(pii.pseudonym(F.concat(F.lit("10.0."), F.floor(F.col("id") / 256).cast("string"), F.lit("."), (F.col("id") % 256).cast("string"))).alias("x"))
+    ips = d.select(pii.pseudonym(F.concat(F.lit("10.0."), F.floor(F.col("id") / 256).cast("string"), F.lit("."), (F.col("id") % 256).cast("string")), "secret").alias("x"))
     assert ips.distinct().count() == 1000
 
 
+def feistel_text(value, key, tweak, rounds=6):
+    """Brute force of the network over characters."""
+    classes = [(48, 10), (97, 26), (65, 26), (1, 8)]
+    cut = (len(value) + 1) // 2
+    halves = [value[:cut], value[cut:]]
+    for r in range(rounds):
+        stream = hashlib.sha512(f"{key}|{tweak}|{r}|{halves[1 - r % 2]}".encode()).hexdigest()
+        out = ""
+        for i, c in enumerate(halves[r % 2]):
+            low, size = next(((low, size) for low, size in classes if low <= ord(c) < low + size), (ord(c), 1))
+            out += chr(low + (ord(c) - low + int(stream[i % 32 * 4 : i % 32 * 4 + 4], 16) + i // 32) % size)
+        halves[r % 2] = out
+    return "".join(halves)
+
+
+def feistel_number(n, bases, key, tweak, rounds=10):
+    parts = [n % bases[0], n // bases[0]]
+    for r in range(rounds):
+        parts[r % 2] = (parts[r % 2] + int(hashlib.sha256(f"{key}|{tweak}|{r}|{parts[1 - r % 2]}".encode()).hexdigest()[:12], 16)) % bases[r % 2]
+    return parts[1] * bases[0] + parts[0]
+
+
+def brute_pseudonym(kind, value, key):
+    digits = "".join(c for c in value if c.isdigit())
+
+    def refilled(new):
+        new = iter(new)
+        return "".join(next(new) if c.isdigit() else c for c in value)
+
+    if kind == "email":
+        name, _, host = value.partition("@")
+        return f"{feistel_text(name, key, 'email')}@{host}"
+    if kind == "card":
+        body = feistel_text(digits[:-1], key, "card")
+        return refilled(body + next(c for c in "0123456789" if luhn(body + c)))
+    if kind == "phone":
+        if len(digits) == 11:
+            return refilled("1" + feistel_text(digits[1:], key, "phone1"))
+        moved = feistel_text(chr(int(digits[0]) - 1) + digits[1:], key, "phone")
+        return refilled(str(ord(moved[0]) + 1) + moved[1:])
+    if kind == "ip":
+        n = feistel_number(int.from_bytes(bytes(map(int, value.split("."))), "big"), (65536, 65536), key, "ip")
+        return ".".join(map(str, n.to_bytes(4, "big")))
+    if kind == "ssn":
+        areas = [a for a in range(1, 900) if a != 666]
+        every = lambda n: f"{areas[n % 88902 // 99]:03}-{n % 88902 % 99 + 1:02}-{n // 88902 + 1:04}"
+        a, g, x = map(int, value.split("-"))
+        return every(feistel_number((x - 1) * 88902 + areas.index(a) * 99 + g - 1, (88902, 9999), key, "ssn"))
+    if kind == "iso":
+        first = datetime.date(1900, 1, 1)
+        n = (datetime.date.fromisoformat(value) - first).days
+        return str(first + datetime.timedelta(feistel_number(n, (17, 4297), key, "day0")))
+    for name in ("AKIA", "password=", 'token = "'):
+        if value.startswith(name):
+            return name + feistel_text(value[len(name) :], key, "secret")
+
+
+def test_pseudonyms_against_brute_force(spark):
+    r = random.Random(12)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    letters = lambda n: "".join(r.choice("abcXYZ019") for _ in range(n))
+    values = []
+    for _ in range(12):
+        body = "4" + digits(r.choice([12, 14, 15]))
+        values += [("card", body + next(c for c in "0123456789" if luhn(body + c))), ("phone", f"+1 ({digits(3)}) 555-{digits(4)}"), ("phone", f"{r.randint(2, 9)}{digits(2)}-{digits(3)}-{digits(4)}")]
+        values += [("ip", ".".join(str(r.randrange(256)) for _ in range(4))), ("ssn", f"{r.choice([1, 665, 667, 899]):03}-{r.randint(1, 99):02}-{r.randint(1, 9999):04}"), ("email", f"a{letters(r.choice([3, 90]))}@mail.example.com")]
+        values += [("iso", str(datetime.date(1900, 1, 1) + datetime.timedelta(r.randrange(73049)))), ("key", "AKIA" + "".join(r.choice("ABZ09") for _ in range(16))), ("password", "password=" + letters(r.choice([3, 8, 80, 300]))), ("token", 'token = "' + letters(r.choice([16, 160, 500])))]
+    values += [("token", 'token = "abcdefghijklmnopqrstuvwx'), ("password", "password=x")]
+    rows = [(i, f'see {v}" there') for i, (_, v) in enumerate(values)]
+    out = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "secret").collect()
+    for x in out:
+        kind, value = values[x.doc_id]
+        assert x.n_found == 1 and x.text == f'see {brute_pseudonym(kind, value, "secret")}" there', (kind, value, x.text)
+    other = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "another").collect()
+    assert sum(a.text == b.text for a, b in zip(sorted(out), sorted(other), strict=True)) < 6
+    with pytest.raises(ValueError):
+        pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "")
+
+
+def test_every_month_first_date_has_its_own_pseudonym(spark):
+    days = spark.range(73049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("dayofmonth(d) > 12")
+    numbers = days.select("d", pii._late_number(F.col("d")).alias("n"), pii._late_day(pii._late_number(F.col("d"))).alias("back"))
+    assert numbers.where("back = d").count() == 44249 and numbers.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first() == (0, 44248, 44249)
+    some = days.where("year(d) = 1987").select(F.date_format("d", "MM/dd/yyyy").alias("v"))
+    made = some.select("v", pii.pseudonym(F.col("v"), "secret").alias("p")).collect()
+    assert len({x.p for x in made}) == len(made) and all(x.p[2] == x.p[5] == "/" and int(x.p[3:5]) > 12 and int(x.p[:2]) <= 12 for x in made)
+
+
+def test_candidates_of_mixed_writing_stay(spark):
+    texts = ["12.31/1999", "12/31.1999", "010.1.1.1", "9870157079875996"]
+    out = pii.pseudonymize(spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(texts)], "doc_id long, text string"), "secret").collect()
+    assert all(x.n_found == 0 and x.text == f"x {texts[x.doc_id]} y" for x in out)
+
+
 def test_pseudonyms_leave_the_rest(spark, odd, nothing, extra):
     texts = ["4041894974608796", "1.2.3", "256.1.1.1", "2023-02-30", "version 4.0. item 12", "a@b", "000-12-3456", "9" * 30, "x1y2z3"]
     rows = [(i, f"see {t} here") for i, t in enumerate(texts)]
-    out = {r.doc_id: r.text for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r.doc_id: r.text for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "secret").collect()}
     assert out == dict(rows)
-    kept = sorted(map(repr, (r.text for r in pii.pseudonymize(extra(odd)).collect())))
+    kept = sorted(map(repr, (r.text for r in pii.pseudonymize(extra(odd), "secret").collect())))
     assert kept == sorted(map(repr, (r.text for r in odd.collect())))
-    assert pii.pseudonymize(nothing).count() == 0
+    assert pii.pseudonymize(nothing, "secret").count() == 0
 
 
 # 8
@@ -420,6 +549,46 @@ def test_sampling_is_lossless_and_reproducible(odd, nothing, extra):
     assert sp_sampling.sampled_pieces(nothing).count() == 0
 
 
+def test_sampling_does_not_depend_on_neighbours():
+    s = sp_sampling.sampler(sp_sampling.default_model(), 1.0)
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdeéinorst日本") for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 60))) for _ in range(400)] + ["".join(r.choice("abé日x") for _ in range(900))]
+    keys = [str(i) for i in range(len(texts))]
+
+    def drawn(order):
+        ids, n = s.sample([keys[i] for i in order], [texts[i] for i in order])
+        ends = np.cumsum(n)
+        return {i: tuple(ids[b - m : b].tolist()) for i, b, m in zip(order, ends, n, strict=True)}
+
+    together = drawn(range(len(texts)))
+    mixed = list(range(len(texts)))
+    r.shuffle(mixed)
+    assert drawn(mixed) == together
+    assert all(drawn([i])[i] == together[i] for i in range(0, len(texts), 7)) and drawn([400])[400] == together[400]
+    # cumulated shares of a word are the same bits whatever stands before it
+    alone, behind = s.lattices(["restoration"]), s.lattices([*words, "restoration"])
+    n = len(alone[4])
+    assert (alone[4] == behind[4][-n:]).all()
+
+
+def test_long_words_take_linear_time_and_follow_the_lattice(monkeypatch):
+    s = sp_sampling.sampler(sp_sampling.default_model(), 1.0)
+    r = random.Random(3)
+    for text in ("x" * 30_000, "".join(r.choice("日本語é") for _ in range(30_000)), "".join(r.choice("abcdet") for _ in range(200_000))):
+        began = time.process_time()
+        ids, n = s.sample(["1"], [text])
+        assert s.decode(ids.tolist()) == text and n[0] == len(ids)
+        assert (time.process_time() - began) / len(text) < 60e-6
+    words = ["".join(r.choice("abcdet") for _ in range(40)) for _ in range(50)]
+    short = s.lattices(words)
+    monkeypatch.setattr(sp_sampling, "LONG", 10)
+    long = s.lattices(words)
+    assert np.allclose(short[1], long[1]) and np.allclose(short[4], long[4])
+    a, b = (s.sample([str(i) for i in range(50)], words)[1] for _ in range(2))
+    assert (a == b).all()
+
+
 def test_sampling_follows_the_lattice():
     s = sp_sampling.sampler(sp_sampling.default_model(), 1.0)
     word = " there"
@@ -457,7 +626,7 @@ def mixed(df):
     from ruleloom.llm.queries import OP9_SQL
 
     con = duckdb.connect()
-    con.register("documents", df.toPandas())
+    con.register("documents", df.toArrow())
     return con.execute(OP9_SQL).fetchall()
 
 
@@ -478,6 +647,43 @@ def test_mixing_against_sql_and_bounds(spark, seed):
     for g in by_source.values():
         assert g[0].target <= 2 * g[0].source_size + 1e-6
         assert abs(sum(x.taken for x in g) - g[0].target) <= max(x.size for x in g)
+    # odds grow with size: what is taken once more is longer than what isn't
+    g = max(by_source.values(), key=len)
+    least = min(x.copies for x in g)
+    more, others = [x.size for x in g if x.copies > least], [x.size for x in g if x.copies == least]
+    assert not more or not others or np.mean(more) > 1.2 * np.mean(others)
+
+
+@pytest.mark.parametrize("p", [0.3, 0.7])
+def test_pareto_shares_follow_the_odds(spark, p):
+    """Over many draws, documents are taken as their odds say."""
+    n = 20_000
+    rows = [(i, " ".join("w" * (1 if i % 2 else 4)), "a") for i in range(n)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,), share=p).collect()
+    short, long = (np.mean([x.copies for x in out if x.size == s]) for s in (1, 4))
+    # at the cut c, a share is c * odds / (1 + c * odds): odds of shares are as 1 to 4
+    assert abs((long / (1 - long)) / (short / (1 - short)) - 4) < 0.6
+    assert abs(sum(x.taken for x in out) - p * sum(x.size for x in out)) <= 4
+
+
+def test_mixing_ranks_null_and_repeated_keys_apart(spark):
+    r = random.Random(2)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(f"w{r.randrange(99)}" for _ in range(r.randint(1, 30))), "b") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df, weights=(1,), share=0.5).collect()
+    assert abs(sum(x.taken for x in out) - out[0].target) <= max(x.size for x in out)
+    for key in (None, 7):
+        taken = [x.copies for x in out if x.doc_id == key]
+        assert 0.2 < np.mean(taken) < 0.9
+    assert Counter(map(tuple, mixing.mixed_rows(df, weights=(1,), share=0.5).collect())).total() == sum(x.copies for x in out)
+    again = mixing.mix(df.orderBy("text"), weights=(1,), share=0.5).collect()
+    assert Counter(out) == Counter(again)
+
+
+def test_mixing_of_odd_rows_equals_sql(odd):
+    out = mixing.mix(odd).collect()
+    mine = Counter((x.doc_id, x.size, x.source_size, round(x.target, 6), x.taken) for x in out)
+    assert mine == Counter((a if a is None or a == a else None, b, c, round(d, 6), e) for a, b, c, d, e in mixed(odd))
 
 
 def test_mixing_targets_water_level(spark):
@@ -517,6 +723,37 @@ def test_top_inner_products(spark, n, dim, scale):
     assert sorted(map(tuple, topk.top_inner_products(df).collect())) == sorted(expected)
 
 
+def top_sql(df):
+    from ruleloom.llm.queries import OP10_SQL
+
+    con = duckdb.connect()
+    con.register("embeddings", df.toPandas())
+    return sorted(con.execute(OP10_SQL).fetchall())
+
+
+def test_top_inner_products_of_repeated_rows(spark):
+    r = random.Random(4)
+    vector = lambda: [r.uniform(-2, 2) for _ in range(4)]
+    many, query = vector(), [1.0, 2.0, -1.0, 0.5]
+    rows = [(0, query), (0, query), (50, vector()), (50, vector()), (100, [0.0] * 4)]
+    rows += [(1, many)] * 9 + [(i, vector()) for i in range(2, 10)] + [(3, many), (3, many)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "vec_id long, embedding array<float>")
+    out = sorted(map(tuple, topk.top_inner_products(df).collect()))
+    assert out == top_sql(df) and len(out) == 15
+    # the case of one row many times among few others
+    df = spark.createDataFrame([(0, [1.0])] + [(1, [9.0])] * 6 + [(i, [float(i % 5)]) for i in range(2, 10)], "vec_id long, embedding array<float>")
+    assert len(topk.top_inner_products(df).collect()) == 5 and sorted(map(tuple, topk.top_inner_products(df).collect())) == top_sql(df)
+
+
+def test_top_inner_products_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    r = np.random.RandomState(8)
+    x = (r.randn(600, 8) * np.exp(2 * r.randn(600, 1))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.top_inner_products(df).collect())) == top_sql(df)
+
+
 def test_top_inner_products_odd(spark, extra):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [3.0]), (2, []), (None, [9.0]), (50, [0.5, 0.5])], "vec_id long, embedding array<float>")
     out = sorted(map(tuple, topk.top_inner_products(extra(df)).collect()))
