@@ -214,13 +214,23 @@ define("Concat")(lambda *a: F.concat(*a))
 define("Element")(lambda xs, i: F.get(xs, i.cast("int")))
 define("Join")(lambda xs, sep: F.call_function("array_join", xs, sep))
 define("JoinOrEmpty")(lambda xs, sep: F.coalesce(F.call_function("array_join", xs, sep), F.lit("")))
-define("Range")(lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), F.greatest(n.cast("bigint") - 1, F.lit(0).cast("bigint")))).otherwise(F.array().cast("array<bigint>")))
+define("Range")(lambda n: F.when(n.isNull(), F.lit(None)).when(n > 0, F.sequence(F.lit(0).cast("bigint"), F.greatest(n.cast("bigint") - 1, F.lit(0).cast("bigint")))).otherwise(F.array().cast("array<bigint>")))
 define("RangeOf")(lambda xs: TABLE["Range"](F.size(xs)))
 define("Size")(lambda xs: F.size(xs).cast("bigint"))
 define("Sort")(lambda xs: F.sort_array(xs))
 define("Unique")(lambda xs: F.sort_array(F.array_distinct(xs)))
 define("Split")(lambda s, sep=None: F.split(s, F.concat(F.lit("\\Q"), F.lit(",") if sep is None else sep, F.lit("\\E"))))
-define("GenerateArray", "GenerateDateArray", "GenerateTimestampArray")(lambda a, b, *step: F.when(a <= b, F.sequence(a, b, *step)).otherwise(F.slice(F.array(a), 1, 0)))
+define("GenerateDateArray", "GenerateTimestampArray")(lambda a, b, *step: F.when(a <= b, F.sequence(a, b, *step)).otherwise(F.slice(F.array(a), 1, 0)))
+
+
+@define("GenerateArray")
+def generate_array(a: Column, b: Column, step: Column | None = None) -> Column:
+    """Up or down by the sign of the step; null bounds or steps give null."""
+    step = F.lit(1) if step is None else step
+    on = ((step > 0) & (a <= b)) | ((step < 0) & (a >= b))
+    return F.when(on.isNull(), F.lit(None)).when(on, F.sequence(a, b, step)).otherwise(F.slice(F.array(a), 1, 0))
+
+
 define("RangeBucket")(lambda x, xs: F.size(F.filter(xs, lambda e: e <= x)))
 
 # text
@@ -281,7 +291,7 @@ define("Round")(lambda x, n=None: F.round(x) if n is None else F.call_function("
 define("Trunc")(lambda x, n=None: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)) if n is None else F.when(x < 0, F.ceil(x * F.pow(F.lit(10.0), n))).otherwise(F.floor(x * F.pow(F.lit(10.0), n))) / F.pow(F.lit(10.0), n))
 define("Floor")(lambda x: F.floor(x))
 define("Ceil")(lambda x: F.ceil(x))
-define("Div")(lambda a, b: F.floor(F.abs(F.try_divide(a, b))).cast("bigint") * (F.sign(a) * F.sign(b)).cast("bigint"))
+define("Div")(lambda a, b: F.when(b != 0, F.call_function("div", a.cast("bigint"), b.cast("bigint"))))
 define("IeeeDivide")(lambda a, b: F.when(b.cast("double") == 0, F.when((a == 0) | F.isnan(a.cast("double")), F.lit(float("nan"))).otherwise(F.sign(a) * float("inf"))).otherwise(F.try_divide(a.cast("double"), b.cast("double"))))
 define("IsInf")(lambda x: F.abs(x) == float("inf"))
 define("SafeNegate")(lambda x: F.try_subtract(F.lit(0), x))
@@ -330,16 +340,60 @@ def _between(a: Column, b: Column, unit: str) -> Column:
     return {"MONTH": months, "QUARTER": F.floor(months / 3), "YEAR": F.year(a) - F.year(b)}[unit].cast("bigint")
 
 
-@define("DateDiff", "DatetimeDiff", "TimestampDiff", literals=True)
+#: Days of the week in the order of ISO.
+WEEKDAYS = ("MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY", "SUNDAY")
+
+
+def _week_begin(unit: str) -> int | None:
+    """Days from Monday to the day on which a unit of weeks begins; None for other units."""
+    unit = unit.upper()
+    if unit in ("WEEK", "ISOWEEK"):
+        return 6 if unit == "WEEK" else 0
+    day = re.fullmatch(r"WEEK\((\w+)\)", unit)
+    if not day:
+        return None
+    if day[1] not in WEEKDAYS:
+        raise ProgramError(f"{unit}: no such day")
+    return WEEKDAYS.index(day[1])
+
+
+def _truncated(t: Column, unit: str) -> Column:
+    """The begin of a unit, as a timestamp."""
+    late = _week_begin(unit)
+    if late is None:
+        return F.date_trunc(unit, t)
+    days = F.make_dt_interval(F.lit(late))
+    return F.date_trunc("WEEK", t.cast("timestamp_ntz") - days) + days
+
+
+def _boundaries(a: Column, b: Column, unit: str) -> Column:
+    """How many units begin between two days or times."""
+    if unit.upper() in ("MONTH", "YEAR"):
+        return _between(a, b, unit)
+    if unit.upper() == "QUARTER":
+        return ((F.year(a) - F.year(b)) * 4 + F.quarter(a) - F.quarter(b)).cast("bigint")
+    size = "WEEK" if _week_begin(unit) is not None else unit
+    return _between(_truncated(a.cast("timestamp_ntz"), unit), _truncated(b.cast("timestamp_ntz"), unit), size)
+
+
+@define("DateDiff", "DatetimeDiff", literals=True)
 def date_diff(a: Column, b: Column, unit: Column, literals: list) -> Column:
-    """``(a, b, "UNIT")``, or the unit first."""
+    """``(a, b, "UNIT")`` is a less b, ``("UNIT", a, b)`` is b less a; boundaries are counted."""
+    if isinstance(literals[0], str):
+        return _boundaries(unit, b, literals[0])
+    return _boundaries(a, b, str(literals[2]))
+
+
+@define("TimestampDiff", literals=True)
+def timestamp_diff(a: Column, b: Column, unit: Column, literals: list) -> Column:
+    """As ``date_diff``, but whole units are counted."""
     if isinstance(literals[0], str):
-        return _between(b, unit, literals[0])
+        return _between(unit, b, literals[0])
     return _between(a, b, str(literals[2]))
 
 
-define("DateTrunc", literals=True)(lambda d, unit, literals: F.trunc(d, str(literals[1])) if isinstance(literals[1], str) else F.trunc(unit, str(literals[0])))
-define("DatetimeTrunc", "TimestampTrunc", literals=True)(lambda t, unit, *_, literals: F.date_trunc(str(literals[1]), t))
+define("DateTrunc", literals=True)(lambda d, unit, literals: (_truncated(d, literals[1]) if isinstance(literals[1], str) else _truncated(unit, str(literals[0]))).cast("date"))
+define("DatetimeTrunc", "TimestampTrunc", literals=True)(lambda t, unit, *_, literals: _truncated(t, str(literals[1])))
 define("DatetimeAdd", "TimestampAdd")(lambda t, s: t + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), s))
 define("DatetimeSub", "TimestampSub")(lambda t, s: t - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), s))
 
@@ -350,6 +404,8 @@ STRFTIME = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%e": "d", "%H": "
 def java_pattern(text: str) -> str:
     out = []
     for part in re.findall(r"%.|[^%]+", text):
+        if part[0] == "%" and part != "%%" and part not in STRFTIME:
+            raise ProgramError(f"unknown directive {part} in {text!r}")
         out.append(STRFTIME.get(part) or ("'%'" if part == "%%" else re.sub(r"[A-Za-z]+", lambda m: f"'{m.group()}'", part)))
     return "".join(out)
 

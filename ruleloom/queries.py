@@ -101,7 +101,7 @@ query(
 )
 query("as_of", 'Q(id:, last:) :- events(event_id: id, user_id: u, event_type: "purchase"), last Max= (e :- events(event_id: e, user_id: u, event_type: "click"), e < id);', "SELECT p.event_id AS id, max(c.event_id) AS last FROM events p LEFT JOIN events c ON c.user_id = p.user_id AND c.event_type = 'click' AND c.event_id < p.event_id WHERE p.event_type = 'purchase' GROUP BY ALL")
 query("json_field", 'Q(id:, k: ToInt64(JsonExtractScalar(p, "$.k"))) :- events(event_id: id, props: p);', "SELECT event_id AS id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
-query("date_ops", "Q(k:, days: DateDiffDay(ToDate(s), ToDate(o)), due: ToString(DateAddDay(ToDate(o), 30))) :- orders(o_orderkey: k, o_orderdate: o), lineitem(l_orderkey: k, l_shipdate: s, l_linenumber: 1);", "SELECT o_orderkey AS k, date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS days, (o_orderdate::DATE + 30)::VARCHAR AS due FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1")
+query("date_ops", "Q(k:, days: DateDiffDay(ToDate(s), ToDate(o)), due: ToString(DateAddDay(ToDate(o), 30))) :- orders(o_orderkey: k, o_orderdate: o), lineitem(l_orderkey: k, l_shipdate: s);", "SELECT o_orderkey AS k, date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS days, (o_orderdate::DATE + 30)::VARCHAR AS due FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 query("time_ops", 'Q(id:, hour: ToString(TimestampTrunc(t, "HOUR")), seconds: Epoch(t)) :- events(event_id: id, ts: t);', "SELECT event_id AS id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, epoch(ts)::DOUBLE AS seconds FROM events")
 query("string_fns", 'Q(p:, up: Upper(n), start: Substr(n, 1, 3), at: Strpos(n, "e"), swapped: Replace(n, " ", "_"), long: Length(n), pad: Lpad(b, 12, "*"), like: Like(n, "%a%"), digits: RegexpReplace(b, "[^0-9]", "")) :- part(p_partkey: p, p_name: n, p_brand: b);', "SELECT p_partkey AS p, upper(p_name) AS up, p_name[1:3] AS start, instr(p_name, 'e')::INTEGER AS at, replace(p_name, ' ', '_') AS swapped, length(p_name) AS long, lpad(p_brand, 12, '*') AS pad, p_name LIKE '%a%' AS like, regexp_replace(p_brand, '[^0-9]', '', 'g') AS digits FROM part")
 query("math_fns", "Q(s:, root: Round(Sqrt(Abs(b)), 6), logged: Round(Log(Abs(b) + 1.0), 6), power: Round(2.0 ^ (k % 7), 3), down: ToInt64(Floor(b)), up: ToInt64(Ceil(b)), sign: Sign(b), least: Least(b, 100.0)) :- supplier(s_suppkey: s, s_acctbal: b, s_nationkey: k);", "SELECT s_suppkey AS s, round(sqrt(abs(s_acctbal)), 6) AS root, round(ln(abs(s_acctbal) + 1.0), 6) AS logged, round(pow(2.0, s_nationkey % 7), 3) AS power, floor(s_acctbal)::BIGINT AS down, ceil(s_acctbal)::BIGINT AS up, sign(s_acctbal)::DOUBLE AS sign, least(s_acctbal, 100.0) AS least FROM supplier")
@@ -110,7 +110,7 @@ query("casts", 'Q(p:, price: ToString(ToInt64(r)), size: ToFloat64(s), bad: TryC
 query("safe_division", "Q(s:, x: b / (k - 3)) :- supplier(s_suppkey: s, s_acctbal: b, s_nationkey: k);", "SELECT s_suppkey AS s, CASE WHEN s_nationkey = 3 THEN NULL ELSE s_acctbal / (s_nationkey - 3) END AS x FROM supplier")
 query("functor_filter", 'InSegment(c, b) :- Customers(c, b, Segment()); Segment() = "NONE"; Customers(c, b, s) :- customer(c_custkey: c, c_acctbal: b, c_mktsegment: s); Building := InSegment(Segment: "BUILDING"); Machinery := InSegment(Segment: "MACHINERY"); Q(kind: "b", c:) :- Building(c, b), b > 0.0; Q(kind: "m", c:) :- Machinery(c, b), b < 0.0;', "SELECT 'b' AS kind, c_custkey AS c FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0 UNION ALL SELECT 'm', c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal < 0")
 query("flags", '@DefineFlag("least", "40"); Q(k:, q:) :- lineitem(l_orderkey: k, l_quantity: q), q > ${least};', "SELECT l_orderkey AS k, l_quantity AS q FROM lineitem WHERE l_quantity > 40")
-query("udf_inline", "Net(price, discount) --> price * (1 - discount); Q(k:, n:, net: Net(p, d)) :- lineitem(l_orderkey: k, l_linenumber: n, l_extendedprice: p, l_discount: d, l_quantity: 50.0);", "SELECT l_orderkey AS k, l_linenumber AS n, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_quantity = 50")
+query("udf_inline", "Net(price, discount) --> price * (1 - discount); Q(k:, n:, net: Net(p, d)) :- lineitem(l_orderkey: k, l_linenumber: n, l_extendedprice: p, l_discount: d);", "SELECT l_orderkey AS k, l_linenumber AS n, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
 query("sql_table", "Q(f:, n:) :- `((select l_returnflag as f, count(*) as n from values ('a'), ('b'), ('a') as t(l_returnflag) group by 1))`(f:, n:);", "SELECT f, count(*) AS n FROM (VALUES ('a'), ('b'), ('a')) t(f) GROUP BY f")
 query("sql_expression", 'Q(n:, x: SqlExpr("{a} || \'-\' || cast({b} as string)", {a: name, b: n + 1})) :- nation(n_nationkey: n, n_name: name);', "SELECT n_nationkey AS n, n_name || '-' || (n_nationkey + 1)::VARCHAR AS x FROM nation")
 
@@ -132,17 +132,61 @@ query(
     "WITH RECURSIVE parent AS (SELECT DISTINCT s_suppkey::BIGINT AS x, ((s_suppkey - 1) // 3)::BIGINT AS y FROM supplier WHERE s_suppkey > 0), s(x, y) AS (SELECT a.x, b.x FROM parent a JOIN parent b ON a.y = b.y UNION SELECT a.x, b.x FROM parent a JOIN s ON a.y = s.x JOIN parent b ON b.y = s.y) SELECT x, y FROM s",
 )
 query(
-    "win_move",
-    'M(x, y) :- x -> y in ["0" -> "a", "0" -> "1", "1" -> "0", "a" -> "b", "a" -> "c", "b" -> "c", "c" -> "d", "d" -> "e"]; V(x) distinct :- M(a, b), x in [a, b]; D(x, n) :- V(x), n += (1 :- M(x, y)); Loss(x) :- D(x, n), n is null; Loss(x) :- D(x, n), w += (1 :- M(x, y), Win(y)), w >= n; @Recursive(Win); Win(x) distinct :- M(x, y), Loss(y); Q(x:, state: "win") :- Win(x); Q(x:, state: "loss") :- Loss(x); Q(x:, state: "draw") :- V(x), ~Win(x), ~Loss(x);',
-    "SELECT * FROM (VALUES ('0', 'draw'), ('1', 'draw'), ('a', 'win'), ('b', 'win'), ('c', 'loss'), ('d', 'win'), ('e', 'loss')) t(x, state)",
+    "subtraction_game",
+    "Position(x) distinct :- nation(n_nationkey: n), x == ToInt64(n); Move(x, y) distinct :- Position(x), y in [x - 1, x - 2, x - 3, x - 4, x - 5, x - 6, x - 7, x - 8], y >= 0;"
+    '@Recursive(Win, -1); Win(x) distinct :- Move(x, y), ~Win(y); Q(x:, state: "win") :- Win(x); Q(x:, state: "loss") :- Position(x), ~Win(x);',
+    # who may take 1 to 8 and loses when nothing is left, loses from multiples of 9
+    "SELECT n_nationkey::BIGINT AS x, CASE WHEN n_nationkey % 9 = 0 THEN 'loss' ELSE 'win' END AS state FROM nation",
+)
+_TREE = "Child(p, c) distinct :- supplier(s_suppkey: s), c == ToInt64(s), c > 1, p == ToInt64(Floor((c + 1) / 3));"
+_TREE_SQL = "WITH RECURSIVE r(x, d) AS (SELECT 1::BIGINT, 0::BIGINT UNION ALL SELECT s_suppkey::BIGINT, d + 1 FROM r JOIN supplier ON (s_suppkey + 1) // 3 = x AND s_suppkey > 1)"
+query(
+    "layers_until_a_third",
+    _TREE + "@Recursive(Reach, -1, stop: Enough); Reach(x) distinct :- x in [1]; Reach(c) distinct :- Reach(p), Child(p, c); Enough() :- n += (1 :- Reach(x)), m += (1 :- supplier(s_suppkey: s)), 3 * n > m; Q(x:) :- Reach(x);",
+    _TREE_SQL + ", layers AS (SELECT d, sum(count(*)) OVER (ORDER BY d) AS upto FROM r GROUP BY d) SELECT x FROM r WHERE d <= (SELECT min(d) FROM layers WHERE 3 * upto > (SELECT count(*) FROM supplier))",
+)
+query(
+    "even_and_odd_layers",
+    _TREE + '@Recursive(Even, -1); Even(x) distinct :- x in [1]; Odd(c) distinct :- Even(p), Child(p, c); Even(c) distinct :- Odd(p), Child(p, c); Q(x:, layer: "even") :- Even(x); Q(x:, layer: "odd") :- Odd(x);',
+    _TREE_SQL + " SELECT x, CASE WHEN d % 2 = 0 THEN 'even' ELSE 'odd' END AS layer FROM r",
 )
-query("stop_condition", "@Recursive(N, -1, stop: S); N() = 0 :- ~N(); N() = N() + 1; S() :- N() > 10; Q(n: N());", "SELECT 11::BIGINT AS n")
-query("mutual_sweeps", "@Recursive(A, 10); A() Max= 0; B() Max= A() + 1; C() Max= B() + 1; A() Max= C() + 1; Q(a: A());", "SELECT 30::BIGINT AS a")
 query("customer_distribution", "N(c, n) :- customer(c_custkey: c), n Count= (o :- orders(o_custkey: c, o_orderkey: o)); Q(orders: n, customers? += 1) distinct :- N(c, n);", "SELECT n AS orders, count(*) AS customers FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) GROUP BY ALL")
 query("hash_fns", "Q(n:, m: ToHex(Md5(name)), s: ToHex(Sha256(name)), b: ToBase64(Md5(name))) :- nation(n_nationkey: n, n_name: name);", "SELECT n_nationkey AS n, md5(n_name) AS m, sha256(n_name) AS s, base64(unhex(md5(n_name))) AS b FROM nation")
-query("array_agg_concat", "Q(r:, n: Size(x)) :- region(r_regionkey: r), x ++= ([k, k] :- nation(n_regionkey: r, n_nationkey: k));", "SELECT n_regionkey AS r, (2 * count(*))::BIGINT AS n FROM nation GROUP BY ALL")
-query("some_value", "Q(r:, key? SomeValue= n_regionkey) distinct :- nation(n_regionkey:), r == n_regionkey;", "SELECT n_regionkey AS r, n_regionkey AS key FROM nation GROUP BY ALL")
-query("approx_functions", "Q(n? ApproxCountDistinct= k) distinct :- nation(n_nationkey: k), k < 5;", "SELECT 5::BIGINT AS n")
+query("array_agg_concat", "Q(r:, x: Sort(x)) :- region(r_regionkey: r), x ++= ([k, k] :- nation(n_regionkey: r, n_nationkey: k));", "SELECT n_regionkey AS r, list_sort(flatten(list([n_nationkey, n_nationkey]))) AS x FROM nation GROUP BY ALL")
+query("some_value", "Q(r:, name? SomeValue= n) distinct :- region(r_regionkey: r, r_name: n), nation(n_regionkey: r);", "SELECT r_regionkey AS r, r_name AS name FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
+query("approx_functions", "Q(n? ApproxCountDistinct= k) distinct :- nation(n_regionkey: k);", "SELECT count(DISTINCT n_regionkey) AS n FROM nation")
+query(
+    "date_boundaries",
+    'Q(id:, days: DatetimeDiff(b, a, "DAY"), weeks: DateDiff(ToDate(b), ToDate(a), "WEEK"), iso_weeks: DateDiff(ToDate(b), ToDate(a), "ISOWEEK"), quarters: DateDiff(ToDate(b), ToDate(a), "QUARTER"), hours: DatetimeDiff(b, a, "HOUR"),'
+    ' week: ToString(DateTrunc(ToDate(a), "WEEK")), iso: ToString(DateTrunc(ToDate(a), "ISOWEEK")), tuesday: ToString(DateTrunc(ToDate(a), "WEEK(TUESDAY)")), first: DateDiff("DAY", ToDate(a), ToDate(b)), text: FormatDate("%d/%m/%Y", ToDate(a)))'
+    " :- orders(o_orderkey: id, o_orderdate: a), lineitem(l_orderkey: id, l_shipdate: b);",
+    "SELECT o_orderkey AS id, date_diff('day', a, b) AS days, (date_trunc('week', b::DATE + 1)::DATE - date_trunc('week', a::DATE + 1)::DATE) // 7 AS weeks, (date_trunc('week', b)::DATE - date_trunc('week', a)::DATE) // 7 AS iso_weeks, date_diff('quarter', a, b) AS quarters, date_diff('hour', a, b) AS hours,"
+    " (date_trunc('week', a::DATE + 1)::DATE - 1)::VARCHAR AS week, date_trunc('week', a)::DATE::VARCHAR AS iso, (date_trunc('week', a::DATE - 1)::DATE + 1)::VARCHAR AS tuesday, date_diff('day', a, b) AS first, strftime(a, '%d/%m/%Y') AS text"
+    " FROM (SELECT o_orderkey, o_orderdate AS a, l_shipdate AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey)",
+)
+query(
+    "integers_and_ranges",
+    "Q(p:, whole: Div(9007199254740993 + p, s), back: Div(-p, 7), down: GenerateArray(n, 1, -2), up: GenerateArray(1, n), none: GenerateArray(n, 0, 3), left: Mod(p, 7)) :- part(p_partkey: k, p_size: z), p == ToInt64(k), s == ToInt64(z), n == p % 9 + 1;",
+    "SELECT p, (9007199254740993 + p) // s AS whole, -(p // 7) AS back, range(n, 0, -2) AS down, range(1, n + 1) AS up, []::BIGINT[] AS none, p % 7 AS left"
+    " FROM (SELECT p_partkey::BIGINT AS p, p_size::BIGINT AS s, p_partkey::BIGINT % 9 + 1 AS n FROM part)",
+)
+query(
+    "bytes_and_encodings",
+    'Q(p:, hex: ToHex(Sha1(n)), back: FromHex(ToHex(Md5(n))) == Md5(n), b64: ToBase64(Sha256(n)), size: ByteLength(n), rev: Reverse(n), rep: Repeat(b, 2), trim: Trim(Rpad(b, 14, " ")), cut: Ltrim(Lpad(b, 14, "x"), "x"), starts: StartsWith(n, "a"), ends: EndsWith(n, "e"), low: Lower(b), title: Initcap(b)) :- part(p_partkey: p, p_name: n, p_brand: b);',
+    "SELECT p_partkey AS p, sha1(p_name) AS hex, true AS back, base64(unhex(sha256(p_name))) AS b64, strlen(p_name)::INTEGER AS size, reverse(p_name) AS rev, repeat(p_brand, 2) AS rep, p_brand AS trim, p_brand AS cut, starts_with(p_name, 'a') AS starts, ends_with(p_name, 'e') AS ends, lower(p_brand) AS low,"
+    " list_aggregate(list_transform(string_split(p_brand, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), 'string_agg', ' ') AS title FROM part",
+)
+query(
+    "numeric_functions",
+    "Q(s:, a: Round(Sin(b), 9), c: Round(Cos(b), 9), t: Round(Atan2(b, 2.0), 9), e: Round(Exp(b / 10000.0), 9), l2: Round(Log10(Abs(b) + 1.0), 9), cut: Trunc(b), gap: Greatest(b, 0.0), same: Ifnull(Nullif(b, b), 1.5), most: Coalesce(Nullif(k, k), k), r: Round(b, 1)) :- supplier(s_suppkey: s, s_acctbal: b, s_nationkey: k);",
+    "SELECT s_suppkey AS s, round(sin(s_acctbal), 9) AS a, round(cos(s_acctbal), 9) AS c, round(atan2(s_acctbal, 2.0), 9) AS t, round(exp(s_acctbal / 10000.0), 9) AS e, round(log10(abs(s_acctbal) + 1.0), 9) AS l2, trunc(s_acctbal)::BIGINT AS cut,"
+    " greatest(s_acctbal, 0.0) AS gap, 1.5::DOUBLE AS same, s_nationkey AS most, round(s_acctbal, 1) AS r FROM supplier",
+)
+query(
+    "date_parts",
+    'Q(k:, y: Year(d), m: Month(d), day: Day(d), q: Quarter(d), doy: Dayofyear(d), last: ToString(LastDay(d)), plus: ToString(DateAdd(d, 45)), minus: ToString(DateSub(d, 45)), unix: UnixDate(d), month: ToString(DateTrunc(d, "MONTH"))) :- orders(o_orderkey: k, o_orderdate: t), d == ToDate(t);',
+    "SELECT o_orderkey AS k, year(d)::INTEGER AS y, month(d)::INTEGER AS m, day(d)::INTEGER AS day, quarter(d)::INTEGER AS q, dayofyear(d)::INTEGER AS doy, last_day(d)::VARCHAR AS last, (d + 45)::VARCHAR AS plus, (d - 45)::VARCHAR AS minus, (d - DATE '1970-01-01')::INTEGER AS unix, date_trunc('month', d)::DATE::VARCHAR AS month FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)",
+)
 
 
 def _tables(spark: SparkSession, sf_dir: str, text: str) -> dict[str, DataFrame]:

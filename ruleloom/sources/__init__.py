@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -61,10 +62,10 @@ def _shown(value) -> str:
     return str(value)
 
 
-def text_table(df: DataFrame, rows: int = 1000) -> str:
-    """A bordered text table of at most ``rows`` rows; numbers stand on the right."""
+def text_table(df: DataFrame, rows: int | None = None) -> str:
+    """A bordered text table of all rows, or of the first ``rows``; numbers stand on the right."""
     head = df.columns
-    found = [[v.asDict(True) if isinstance(v, Row) else [x.asDict(True) if isinstance(x, Row) else x for x in v] if isinstance(v, list) else v for v in r] for r in df.limit(rows).collect()]
+    found = [[v.asDict(True) if isinstance(v, Row) else [x.asDict(True) if isinstance(x, Row) else x for x in v] if isinstance(v, list) else v for v in r] for r in (df if rows is None else df.limit(rows)).collect()]
     body = [[_shown(v) for v in r] for r in found]
     wide = [max(len(x) for x in column) for column in zip(head, *body, strict=True)]
     number = [not isinstance(v, str) and all(isinstance(x, (int, float, type(None))) and not isinstance(x, bool) for x in column) for v, *column in zip([0] * len(head), *found, strict=True)]
@@ -75,10 +76,13 @@ def text_table(df: DataFrame, rows: int = 1000) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where the session has none."""
+    """``spark.checkpoint.dir``; on a local master that has none, a temporary folder."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ruleloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ProgramError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="ruleloom-"))
     return context.getCheckpointDir().get()
 
 

@@ -9,7 +9,7 @@ import pytest
 from ruleloom import Program, ProgramError
 
 CASES = [
-    ("Abs(-2)", 2), ("Round(2.345, 2)", 2.35), ("Trunc(-2.7)", -2), ("Div(7, 2)", 3), ("Div(-7, 2)", -3), ("Mod(-7, 3)", -1), ("7 % 4", 3), ("2 ^ 10", 1024.0),
+    ("Abs(-2)", 2), ("Round(2.345, 2)", 2.35), ("Trunc(-2.7)", -2), ("Div(7, 2)", 3), ("Div(9007199254740993, 1)", 9007199254740993), ("Div(7, 0)", None), ("Div(-7, 2)", -3), ("Mod(-7, 3)", -1), ("7 % 4", 3), ("2 ^ 10", 1024.0),
     ("Sqrt(16.0)", 4.0), ("Log(1.0)", 0.0), ("Log(8.0, 2.0)", 3.0), ("Sign(-3.0)", -1.0), ("Least(3, 1, 2)", 1), ("Least(3, null)", None), ("Greatest(3, 1, 2)", 3),
     ("IeeeDivide(1.0, 0.0)", float("inf")), ("1 / 0", None), ("SafeDivide(1, 0)", None), ("SafeNegate(5)", -5), ("IsInf(1.0)", False), ("If(1 < 2, 5, 6)", 5),
     ("Ifnull(null, 3)", 3), ("Coalesce(null, 4)", 4), ("Nullif(1, 1)", None), ("BitCount(7)", 3), ("BitCastToInt32(4294967295)", -1), ("BitCastToUint32(-1)", 4294967295),
@@ -23,9 +23,11 @@ CASES = [
     ("Normalize(\"é\")", "é"), ("NormalizeAndCasefold(\"ẞ\")", "ss"), ("NetIpToString(NetIpFromString(\"10.1.2.3\"))", "10.1.2.3"), ("NetIpToString(NetIpTrunc(NetIpFromString(\"10.1.2.3\"), 8))", "10.0.0.0"),
     ("NetSafeIpFromString(\"x\")", None), ("NetIpv4ToInt64(NetIpv4FromInt64(3232235777))", 3232235777), ("NetHost(\"http://a.b/c\")", "a.b"),
     ("Range(3)", [0, 1, 2]), ("Range(0)", []), ("RangeOf([5, 6])", [0, 1]), ("Size([1, 2])", 2), ("Sort([3, 1, 2])", [1, 2, 3]), ("Unique([2, 1, 2])", [1, 2]), ("ArrayReverse([1, 2])", [2, 1]),
-    ("ArrayConcat([1], [2])", [1, 2]), ("ArrayLength([1])", 1), ("ArrayToString([\"a\", \"b\"], \"+\")", "a+b"), ("GenerateArray(1, 4)", [1, 2, 3, 4]), ("GenerateArray(4, 1)", []), ("RangeBucket(5, [1, 5, 9])", 2), ("Element([7, 8], 1)", 8),
+    ("ArrayConcat([1], [2])", [1, 2]), ("ArrayLength([1])", 1), ("ArrayToString([\"a\", \"b\"], \"+\")", "a+b"), ("GenerateArray(1, 4)", [1, 2, 3, 4]), ("GenerateArray(4, 1)", []), ("GenerateArray(5, 1, -2)", [5, 3, 1]), ("GenerateArray(1, 5, -1)", []), ("RangeBucket(5, [1, 5, 9])", 2), ("Element([7, 8], 1)", 8),
     ("Date(2020, 2, 29)", datetime.date(2020, 2, 29)), ("DateAddDay(Date(2020, 2, 28), 2)", datetime.date(2020, 3, 1)), ("DateSub(Date(2020, 3, 1), 1)", datetime.date(2020, 2, 29)),
     ("DateDiffDay(Date(2020, 3, 1), Date(2020, 2, 1))", 29), ("DateDiff(Date(2021, 1, 1), Date(2020, 2, 1), \"MONTH\")", 11), ("DateTrunc(Date(2020, 2, 29), \"MONTH\")", datetime.date(2020, 2, 1)),
+    ("DateDiff(\"DAY\", Date(2020, 1, 1), Date(2020, 1, 5))", 4), ("DateDiff(Date(2020, 1, 5), Date(2020, 1, 4), \"WEEK\")", 1), ("DateDiff(Date(2020, 1, 6), Date(2020, 1, 5), \"WEEK\")", 0),
+    ("DateDiff(Date(2020, 1, 6), Date(2020, 1, 5), \"ISOWEEK\")", 1), ("DateTrunc(Date(2020, 1, 8), \"WEEK\")", datetime.date(2020, 1, 5)), ("DateTrunc(Date(2020, 1, 8), \"ISOWEEK\")", datetime.date(2020, 1, 6)),
     ("FormatDate(\"%Y/%m/%d\", Date(2020, 2, 9))", "2020/02/09"), ("ParseDate(\"%d.%m.%Y\", \"09.02.2020\")", datetime.date(2020, 2, 9)), ("UnixDate(Date(1970, 1, 3))", 2), ("DateFromUnixDate(2)", datetime.date(1970, 1, 3)),
     ("UnixSeconds(TimestampSeconds(5))", 5), ("TimestampDiff(TimestampSeconds(7200), TimestampSeconds(0), \"HOUR\")", 2), ("Epoch(TimestampMillis(1500))", 1.5), ("TimeDiffSeconds(TimestampSeconds(9), TimestampSeconds(4))", 5.0),
     ("JsonExtract(\"{}\", \"$.a\")", None), ("JsonExtractScalar('{\"a\": [1]}', \"$.a\")", None), ("JsonExtractScalar('{\"a\": 1}', \"$.a\")", "1"), ("RecordAsJson({a: 1})", '{"a":1}'),
@@ -114,3 +116,13 @@ def test_user_product_and_attached_tables(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a\n2\n3\n")
     text = f'@AttachDatabase("d", "{tmp_path}"); `*`(x) = Round(Exp(Sum(Log(x)))); P() *= a :- d.t(a:); Out(P(), 2 * 3);'
     assert tuple(Program(text, spark).df("Out").first()) == (6.0, 6)
+
+
+def test_unknown_directives_are_errors(spark):
+    with pytest.raises(ProgramError):
+        Program('Out(x: FormatDate("%U", Date(2020, 1, 1)));', spark).df("Out")
+
+
+def test_text_tables_are_whole(spark):
+    text = Program("Out(x:) :- t(x:);", spark, tables={"t": spark.range(1500).withColumnRenamed("id", "x")}).text("Out")
+    assert len(text.splitlines()) == 1504
