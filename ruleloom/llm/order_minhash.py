@@ -98,7 +98,10 @@ def with_order_minhash(df: DataFrame, text: str, out: str, k: int = 5, slots: in
         short = F.array_except(F.sequence(F.lit(0), F.lit(slots - 1)), full)
         d = d.withColumn(c("n"), F.transform(short, lambda i: F.struct(i.alias("i"), F.size(F.filter(chosen, lambda v: slot_of(v) == i)).alias("n"))))
         own = lambda e: F.transform(F.filter(p, lambda v: slot_of(v) != e["i"]), lambda v: _packed(F.xxhash64(_hash_part(v), e["i"]), _position(v)))
-        others = lambda e: F.transform(F.slice(F.sort_array(own(e)), F.lit(1), F.lit(pick) - e["n"]), lambda v: at(e["i"], v))
+        # mostly one pair is missing: the least needs no sort
+        one = lambda x: F.filter(F.array(F.array_min(x)), lambda v: v.isNotNull())
+        some = lambda e: let(own(e), lambda x: F.when(e["n"] == pick - 1, one(x)).otherwise(F.slice(F.sort_array(x), F.lit(1), F.lit(pick) - e["n"])))
+        others = lambda e: F.transform(some(e), lambda v: at(e["i"], v))
         placed = F.concat(placed, F.flatten(F.transform(F.col(c("n")), others)))
     # in text order within each slot: (slot, position, index of the word)
     ordered = F.sort_array(placed)
