@@ -429,8 +429,8 @@ class Encoder:
     follows, so a text's ids are those of its space-separated pieces in turn.
     Arrow finds the distinct pieces of some texts; new ones are encoded
     together, many in a call, and told apart by their bytes, and remembered.
-    Texts with runs of white space around a space, and tokenizers of other
-    kinds, are encoded whole.
+    Texts with runs of white space around a space or with one of the
+    tokenizer's added tokens, and tokenizers of other kinds, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -438,11 +438,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         pre = kind.get("pre_tokenizer") or {}
+        #: Tokens that the library finds in a text before it splits it.
+        self.added = [t["content"] for t in kind.get("added_tokens") or []]
         self.by_piece = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.by_piece = self.by_piece and not any(" " in t for t in self.added)
         if self.by_piece:  # one character of a byte-level token is one byte
             self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
             for token, i in self.tokenizer.get_vocab().items():
@@ -493,7 +495,7 @@ class Encoder:
         """Places for new pieces; a word with marks behind it is put together from both."""
         alone, marked, words = [], [], {}
         for p in names:
-            if not p or p[0].isspace():
+            if not p or p[0].isspace() or any(t in p for t in self.added):
                 self.place[p] = 0
             elif m := _MARKED(p):
                 marked.append((p, *m.groups()))
