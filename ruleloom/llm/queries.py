@@ -64,18 +64,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_order_minhash, op3_length_histogram, op4_token_ids, op5_simhash, op6_url_filter, op7_pseudonyms, op8_sampled_pieces, op9_mixing, op10_inner_products)}
 
 
+#: Dot segments of link targets aren't resolved here.
 OP6_SQL = """
 WITH RECURSIVE rules(verdict, rhost, rpath) AS (VALUES ('allow','org','/'),('block','example.org','/es/'),('block','example.org','/en/1'),('allow','com','/fr/'),('block','com','/de/')),
-parsed AS (SELECT page_id, regexp_replace(url, '#.*', '', 's') AS address, html,
-  translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
-own AS (SELECT p.page_id, p.address, p.host, p.path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
-  FROM parsed p LEFT JOIN rules ON (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath) GROUP BY ALL),
-targets AS (SELECT address AS a, regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS b FROM parsed
-  UNION SELECT address, regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*\\bcontent\\s*=\\s*["'']?[^"''>;]*;\\s*url\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM parsed),
-links AS (SELECT a, b FROM targets WHERE a IS NOT NULL AND b <> '' UNION SELECT b, a FROM targets WHERE a IS NOT NULL AND b <> ''),
+page AS (SELECT page_id, html, url, regexp_replace(url, '#.*', '', 's') AS u FROM pages),
+parsed AS (SELECT page_id, html, u, url, CASE WHEN contains(u, '://') THEN lower(regexp_extract(u, '^(.*?://[^/?]*)', 1, 's')) || regexp_extract(u, '^.*?://[^/?]*(.*)$', 1, 's') ELSE u END AS address FROM page),
+tags AS (SELECT u, address, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*>')) AS tag, 'canonical' AS kind FROM parsed
+  UNION ALL SELECT u, address, unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*>')), 'refresh' FROM parsed),
+targets AS (SELECT u, address, regexp_replace(regexp_replace(regexp_extract(tag, CASE kind WHEN 'canonical' THEN '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)'
+    ELSE '(?is)\\bcontent\\s*=\\s*["'']?[^"''>;]*;\\s*url\\s*=\\s*["'']?([^"''\\s>]+)' END, 1), '&(amp|#38|#x26);', '&', 'gi'), '#.*', '', 's') AS t,
+    regexp_extract(u, '^(.*?)://', 1, 's') AS scheme, regexp_extract(u, '^(.*?://[^/?]*)', 1, 's') AS site, regexp_extract(u, '^.*?://[^/?]*([^?]*)', 1, 's') AS path
+  FROM tags WHERE u IS NOT NULL AND regexp_matches(tag, CASE kind WHEN 'canonical' THEN '(?is)\\brel\\s*=\\s*["'']?canonical\\b' ELSE '(?is)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b' END)),
+resolved AS (SELECT address AS a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN NOT contains(u, '://') OR t = '' OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN site || t WHEN starts_with(t, '?') THEN site || path || t
+    ELSE site || CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*/)', 1, 's') ELSE '/' END || t END AS b FROM targets),
+straight AS (SELECT a, lower(regexp_extract(b, '^(.*?://[^/?]*)', 1, 's')) || regexp_extract(b, '^.*?://[^/?]*(.*)$', 1, 's') AS b FROM resolved WHERE b IS NOT NULL),
+links AS (SELECT a, b FROM straight UNION SELECT b, a FROM straight),
+asked AS (SELECT page_id, address, url, true AS is_page FROM parsed UNION ALL SELECT NULL, a, a, false FROM links),
+hosted AS (SELECT page_id, address, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path, row_number() OVER () AS n, is_page FROM asked),
+own AS (SELECT p.n, p.page_id, p.address, p.host, p.path, p.is_page, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+  FROM hosted p LEFT JOIN rules ON (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath) GROUP BY ALL),
 tainted(address) AS (SELECT address FROM own WHERE verdict = 'block' AND address IN (SELECT a FROM links) UNION SELECT l.b FROM tainted t JOIN links l ON t.address = l.a)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN address IN (SELECT address FROM tainted) THEN 'block' ELSE 'allow' END) AS verdict FROM own
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN address IN (SELECT address FROM tainted) THEN 'block' ELSE 'allow' END) AS verdict FROM own WHERE is_page
 """
 
 OP9_SQL = """

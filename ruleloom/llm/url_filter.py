@@ -56,28 +56,60 @@ def judged(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colum
 
 _TAG = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>;]*;\s*url\s*=\s*[\"']?([^\"'\s>]+)"
+_SITE = r"(?s)^(.*?://[^/?#]*)(.*)$"
 
 
 def _address(url: Column) -> Column:
-    """A url without its fragment."""
-    return F.regexp_replace(url, r"(?s)#.*", "")
+    """A url without its fragment, scheme and host in lower case."""
+    plain = F.regexp_replace(url, r"(?s)#.*", "")
+    return F.when(plain.contains("://"), F.concat(ascii_lower(F.regexp_extract(plain, _SITE, 1)), F.regexp_extract(plain, _SITE, 2))).otherwise(plain)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path, with what follows it, without its ``.`` and ``..`` segments."""
+    plain, rest = F.regexp_extract(path, r"(?s)^([^?]*)", 1), F.regexp_extract(path, r"(?s)^[^?]*(.*)$", 1)
+    parts = F.split(plain, "/")
+    none = F.array().cast("array<string>")
+    # a last segment that is a dot segment leaves its slash
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    # the empty segment before the first slash stays
+    kept = F.aggregate(parts, none, lambda got, s: F.when(s == ".", got).when(s == "..", F.slice(got, F.lit(1), F.greatest(F.size(got) - 1, F.lit(1)))).otherwise(F.concat(got, F.array(s))))
+    return F.when(plain.rlike(r"(?s)/\.\.?(/|$)"), F.concat(F.array_join(kept, "/"), rest)).otherwise(path)
+
+
+def _resolved(target: Column, url: Column) -> Column:
+    """The address that a page at ``url`` means by ``target``; null if it is none."""
+    t = F.regexp_replace(F.regexp_replace(target, "(?i)&(amp|#38|#x26);", "&"), r"(?s)#.*", "")
+    page = F.regexp_replace(url, r"(?s)#.*", "")
+    scheme, site, path = F.regexp_extract(page, r"(?s)^(.*?)://", 1), F.regexp_extract(page, _SITE, 1), path_of(page)
+    folder = F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^(.*/)", 1)).otherwise("/")
+    full = (
+        F.when(t.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+        .when(~page.contains("://") | (t == "") | t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+        .when(t.startswith("/"), F.concat(site, _without_dots(t)))
+        .when(t.startswith("?"), F.concat(site, path, t))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, t))))
+    )
+    return _address(full)
 
 
 def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(a, b)``: a page's address and the one it redirects to or calls canonical.
+    """``(a, b)``: a page's address and each that it redirects to or calls canonical.
 
-    Targets may be absolute, scheme-relative or absolute paths; others, and
-    pages without a url, give no link.
+    Targets may be absolute or relative, dot segments included, and may hold
+    ``&amp;``; scheme and host count in any case.  Targets of other kinds
+    (``mailto:``), and pages without a url, give no link.
     """
     u, h = F.col(f"`{url}`"), F.col(f"`{html}`")
     # a plain substring test spares most pages the regular expressions
     hint = F.lower(h)
-    p = pages.select(u.alias("u"), F.when(hint.contains("canonical"), F.regexp_extract(h, _TAG, 1)).alias("c"), F.when(hint.contains("refresh"), F.regexp_extract(h, _REFRESH, 1)).alias("r"))
-    p = p.where(F.col("u").isNotNull()).select("u", F.explode(F.filter(F.array("c", "r"), lambda x: x.isNotNull() & (x != ""))).alias("t"))
-    scheme, site = F.regexp_extract("u", r"(?s)^(.*?)://", 1), F.regexp_extract("u", r"(?s)^(.*?://[^/?#]*)", 1)
-    t = F.col("t")
-    full = F.when(t.contains("://"), t).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t)).when(t.startswith("/"), F.concat(site, t))
-    return p.select(_address(F.col("u")).alias("a"), _address(full).alias("b")).where("b is not null and a <> b")
+    c = F.when(hint.contains("canonical"), F.regexp_extract_all(h, F.lit(_TAG), F.lit(1)))
+    r = F.when(hint.contains("refresh"), F.regexp_extract_all(h, F.lit(_REFRESH), F.lit(1)))
+    none = F.array().cast("array<string>")
+    p = pages.select(u.alias("u"), F.concat(F.coalesce(c, none), F.coalesce(r, none)).alias("targets")).where("u is not null and size(targets) > 0")
+    p = p.select("u", F.explode(F.array_distinct("targets")).alias("t"))
+    return p.select(_address(F.col("u")).alias("a"), _resolved(F.col("t"), F.col("u")).alias("b")).where("b is not null and a <> b")
 
 
 def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules: tuple[Rule, ...] = RULES, links: DataFrame | None = None) -> DataFrame:

@@ -294,8 +294,12 @@ def test_encoder_equals_library():
     e = token_codec.Encoder(token_codec.default_tokenizer())
     from tests.llm.conftest import ODD_TEXTS
 
-    texts = [t for _, t in ODD_TEXTS if t] + ["a \n b", "a\n \nb c", " lead", "trail ", "x <|endoftext|> y", "tab\t here", "it's  we'll", "nb\u00a0sp \u3000wide", "don't, we've. a_b c_ x's. it's.. 'q' (a) b) c... \u024f, \u1f08, \u65e5, \xdf? x\xb2, \xbd."]
-    whole = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts = [t for _, t in ODD_TEXTS if t] + ["a \n b", "a\n \nb c", " lead", "trail ", "x <|endoftext|> y", "a b<|endoftext|>c d", "<|endoftext|>", "<|endoftext|> first", "<|endoftext", "tab\t here", "it's  we'll", "nb\u00a0sp \u3000wide", "don't, we've. a_b c_ x's. it's.. 'q' (a) b) c... \u024f, \u1f08, \u65e5, \xdf? x\xb2, \xbd."]
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_codec.default_tokenizer())
+    assert 50256 in library.encode("x <|endoftext|> y", add_special_tokens=False).ids
+    whole = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
     assert e.encode(texts) == whole and e.encode(texts) == whole
 
 
@@ -392,6 +396,52 @@ def test_url_filter(spark, extra):
     assert url_filter.filter_urls(pages.where("page_id < 0")).count() == 0
 
 
+def test_links_of_all_kinds(spark):
+    def canonical(t):
+        return f"<link rel='canonical' href='{t}'>"
+
+    urls = {
+        1: "http://a.net/x/y/p?q=1", 2: "HTTP://A.net/x/z", 3: "http://a.net/x/y/q", 4: "http://a.net", 5: "http://a.net/s", 6: "http://a.net/x/y/r",
+        7: "http://one.net/1", 8: "http://two.net/1", 9: "http://q.net/?a=1&b=2", 10: "http://c.com/de/1", 11: "no scheme", 12: "http://m.net/1", 13: "http://f.net/1",
+    }
+    html = {
+        1: canonical("../z"), 2: canonical("http://C.com/de/5"), 3: canonical("./../y/../z"), 4: canonical("s"), 5: canonical("mailto:x@c.com"), 6: canonical("//c.COM/fr/3"),
+        7: canonical("http://nowhere.net/") + canonical("http://two.net/1"), 8: '<meta http-equiv="refresh" content="1; url=http://q.net/?a=1&amp;b=2">' + canonical("#top"), 9: canonical("http://c.com/de/1"),
+        11: canonical("/x"), 12: canonical("?again"), 13: "<meta http-equiv=refresh content='0;URL=.'>",
+    }
+    pages = spark.createDataFrame([(k, u, html.get(k)) for k, u in urls.items()], "page_id long, url string, html string")
+    links = {tuple(r) for r in url_filter.alias_links(pages).collect()}
+    assert ("http://a.net/x/y/q", "http://a.net/x/z") in links and ("http://a.net/x/z", "http://c.com/de/5") in links and ("http://a.net", "http://a.net/s") in links
+    assert ("http://m.net/1", "http://m.net/1?again") in links and ("http://f.net/1", "http://f.net/") in links and ("http://two.net/1", "http://q.net/?a=1&b=2") in links
+    assert len(links) == 11 and not any("mailto" in b for _, b in links)
+    verdict = {r.page_id: r.verdict for r in url_filter.filter_urls(pages).collect()}
+    assert {k for k, v in verdict.items() if v == "block"} == {1, 2, 3, 7, 8, 9, 10}
+
+
+def test_url_filter_equals_its_sql(spark):
+    import duckdb
+
+    from ruleloom.llm.queries import OP6_SQL
+
+    r = random.Random(6)
+    sites = ["http://a.net", "http://B.net", "https://x.com", "http://example.org", "http://z.org"]
+    paths = ["/de/1", "/fr/2", "/es/3", "/en/1", "/p", "/q?x=1&y=2", ""]
+    rows = []
+    for i in range(300):
+        url = r.choice(sites) + r.choice(paths)
+        target = r.choice([r.choice(sites) + r.choice(paths), r.choice(paths[:6]), "p", "?k=1", "//x.com/de/9", "mailto:a@b", "#f"]).replace("&", "&amp;")
+        page = r.choice([f'<link href="{target}" rel="canonical">', f"<LINK rel=canonical href='{target}'>", f'<meta http-equiv="refresh" content="0; url={target}">']) if i % 6 == 0 else None
+        rows.append((None if i == 7 else i, None if i == 9 else url, page))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas().astype({"page_id": "Int64"}))
+    names = ["page_id", "host", "path", "rule", "verdict"]
+    expected = con.execute(f"SELECT {', '.join(names)} FROM ({OP6_SQL})").fetchall()
+    found = [tuple(x) for x in url_filter.filter_urls(pages).select(*names).collect()]
+    assert sorted(map(repr, found)) == sorted(map(repr, expected))
+    assert len({x[4] for x in found if x[3] is None}) == 2
+
+
 # 7
 
 
