@@ -114,10 +114,26 @@ query("udf_inline", "Net(price, discount) --> price * (1 - discount); Q(k:, n:,
 query("sql_table", "Q(f:, n:) :- `((select l_returnflag as f, count(*) as n from values ('a'), ('b'), ('a') as t(l_returnflag) group by 1))`(f:, n:);", "SELECT f, count(*) AS n FROM (VALUES ('a'), ('b'), ('a')) t(f) GROUP BY f")
 query("sql_expression", 'Q(n:, x: SqlExpr("{a} || \'-\' || cast({b} as string)", {a: name, b: n + 1})) :- nation(n_nationkey: n, n_name: name);', "SELECT n_nationkey AS n, n_name || '-' || (n_nationkey + 1)::VARCHAR AS x FROM nation")
 
-_EDGES = "Edge(x, y) distinct :- orders(o_orderkey: k, o_custkey: c), x == k % 60, y == c % 60, x < y, y - x < 9;"
-_EDGES_SQL = "edge AS (SELECT DISTINCT o_orderkey % 60 AS x, o_custkey % 60 AS y FROM orders WHERE o_orderkey % 60 < o_custkey % 60 AND o_custkey % 60 - o_orderkey % 60 < 9)"
-query("closure", _EDGES + "@Recursive(C, -1); C(x, y) distinct :- Edge(x, y); C(x, z) distinct :- C(x, y), Edge(y, z); Q(x:, y:) :- C(x, y);", f"WITH RECURSIVE {_EDGES_SQL}, c(x, y) AS (SELECT x, y FROM edge UNION SELECT c.x, e.y FROM c JOIN edge e ON c.y = e.x) SELECT x, y FROM c")
-query("distance", _EDGES + "@Recursive(D, -1); D(x, y) Min= 1 :- Edge(x, y); D(x, z) Min= D(x, y) + 1 :- Edge(y, z); Q(x:, y:, d:) :- D(x, y) == d;", f"WITH RECURSIVE {_EDGES_SQL}, c(x, y, d) AS (SELECT x, y, 1 FROM edge UNION SELECT c.x, e.y, c.d + 1 FROM c JOIN edge e ON c.y = e.x) SELECT x, y, min(d)::BIGINT AS d FROM c GROUP BY ALL")
+#: Who belongs to whom: every order to its customer, every customer to its nation, every nation to its region.
+_EDGES = (
+    'Edge(x, y) distinct :- orders(o_orderkey: k, o_custkey: c), x == "order " ++ ToString(k), y == "customer " ++ ToString(c);'
+    'Edge(x, y) distinct :- customer(c_custkey: c, c_nationkey: n), x == "customer " ++ ToString(c), y == "nation " ++ ToString(n);'
+    'Edge(x, y) distinct :- nation(n_nationkey: n, n_regionkey: r), x == "nation " ++ ToString(n), y == "region " ++ ToString(r);'
+)
+_EDGES_SQL = (
+    "edge AS (SELECT 'order ' || o_orderkey AS x, 'customer ' || o_custkey AS y FROM orders UNION SELECT 'customer ' || c_custkey, 'nation ' || c_nationkey FROM customer"
+    " UNION SELECT 'nation ' || n_nationkey, 'region ' || n_regionkey FROM nation)"
+)
+query(
+    "closure",
+    _EDGES + "@Recursive(C, -1); C(x, y) distinct :- Edge(x, y); C(x, z) distinct :- C(x, y), Edge(y, z); Q(x:, y:) :- C(x, y);",
+    f"WITH RECURSIVE {_EDGES_SQL}, c(x, y) AS (SELECT x, y FROM edge UNION SELECT c.x, e.y FROM c JOIN edge e ON c.y = e.x) SELECT x, y FROM c",
+)
+query(
+    "distance",
+    _EDGES + "@Recursive(D, -1); D(x, y) Min= 1 :- Edge(x, y); D(x, z) Min= D(x, y) + 1 :- Edge(y, z); Q(x:, y:, d:) :- D(x, y) == d;",
+    f"WITH RECURSIVE {_EDGES_SQL}, c(x, y, d) AS (SELECT x, y, 1::BIGINT FROM edge UNION SELECT c.x, e.y, c.d + 1 FROM c JOIN edge e ON c.y = e.x) SELECT x, y, min(d) AS d FROM c GROUP BY ALL",
+)
 #: The recursion over the whole edge table, cycles included: orders to their customers' numbers, no filter.
 #: Recursive SQL is too slow for these; they are tested against brute force.
 _ALL_EDGES = "Edge(x, y) distinct :- orders(o_orderkey: x, o_custkey: y);"

@@ -82,6 +82,40 @@ def test_recursion_over_all_orders(spark, tmp_path):
     assert sorted((x.x, x.y, x.d) for x in found.collect()) == sorted((a, b, d) for (a, b), d in far.items())
 
 
+@pytest.mark.parametrize(
+    ("text", "improving"),
+    [
+        ("@Recursive(C, -1); C(x) Min= w :- Start(x, w); C(y) Min= C(x) + w :- Road(x, y, w);", True),
+        ("@Recursive(C, -1); C(x:, cost? Min= w) distinct :- Start(x, w); C(x: y, cost? Min= Greatest(c, w)) distinct :- C(x:, cost: c), Road(x, y, w);", True),
+        ("@Recursive(C, -1); C(x) Max= w :- Start(x, w); C(y) Max= v - w :- v == C(x), Road(x, y, w);", False),
+        ("@Recursive(C, -1); C(x) Max= w :- Start(x, w); C(y) Max= C(x) + w :- Road(x, y, w), x < y;", True),
+        ("@Recursive(C, -1); C(x) Min= w :- Start(x, w); C(y) Min= v + w :- v == C(x), Road(x, y, w), v < 12;", False),
+        ("@Recursive(C, 2); C(x) Min= w :- Start(x, w); C(y) Min= C(x) + w :- Road(x, y, w);", True),
+        ("@Recursive(C, -1); C(x) Min= w :- Start(x, w); C(y) Min= C(x) + w :- Road(x, y, w); C(z) Min= C(x) + C(y) :- Road(x, y, w), Road(y, z, v);", True),
+    ],
+)
+def test_improved_rows_alone_give_what_sweeps_give(spark, monkeypatch, text, improving):
+    from ruleloom import Program
+    from ruleloom.plans import fixpoint
+
+    r = random.Random(8)
+    roads = sorted({(r.randrange(12), r.randrange(12)) for _ in range(26)})
+    tables = {
+        "Road": spark.createDataFrame([(a, b, 1 + (5 * a + 3 * b) % 7) for a, b in roads], "col0 long, col1 long, col2 long"),
+        "Start": spark.createDataFrame([(0, 3), (5, 9), (0, 8)], "col0 long, col1 long"),
+    }
+    rules, taken = fixpoint.improving_rules, []
+
+    def rows():
+        return sorted(tuple(x) for x in Program(text, spark, tables=tables).df("C").collect())
+
+    monkeypatch.setattr(fixpoint, "improving_rules", lambda program, name: taken.append(rules(program, name)) or taken[-1])
+    found = rows()
+    assert [t is not None for t in taken] == [improving] and len(found) > 2
+    monkeypatch.setattr(fixpoint, "improving_rules", lambda program, name: None)
+    assert rows() == found
+
+
 def test_same_generation(spark):
     parents = [(1, 0), (2, 0), (3, 1), (4, 1), (5, 2)]
     found = {tuple(x) for x in same_generation(spark.createDataFrame(parents, "x long, p long")).collect()}
