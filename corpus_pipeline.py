@@ -34,8 +34,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each near-duplicate group stays: the one with the least id.
 
     Documents are linked at a five-word shingle similarity of 0.8 or more, by
-    their texts alone: rows that repeat an id, or lack one, are documents like
-    any other.  Ties, among rows of the least id, go to the least hash of the
+    their texts alone: SimHash with deletion variants finds those within four
+    bits, MinHash keys the pairs beyond them, and the exact similarity decides
+    on both.  Rows that repeat an id, or lack one, are documents like any other.  Ties, among rows of the least id, go to the least hash of the
     row; of rows that are equal in every column one stays.  Null and empty
     texts are copies of each other.  Long texts are compared whole.  An empty
     table stays empty; columns besides those of documents go.

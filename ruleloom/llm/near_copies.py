@@ -1,13 +1,21 @@
-"""Near copies by the exact likeness of shingle sets, through MinHash bands.
+"""Near copies by SimHash with deletion variants, held to the exact likeness of shingle sets.
 
 A text's shingles are its runs of ``width`` lower-cased words, hashed; equal
-sets are one node.  Sets are indexed under ``BANDS`` keys of ``ROWS`` least
-values each: a pair at likeness 0.8 misses all keys with a chance of
-(1 - 0.8^4)^24, about 3 in a million, and less above.  Under a key the sets
-themselves are compared, so every link holds exactly.  Keys with the same
-members are looked at once; a walk over the members keeps a spanning forest of
-the links, and keys with more than ``chunk`` members are cut into chunks, each
-pair of chunks a task of its own.
+sets are one node, and a node's fingerprint is the SimHash of its set.  The
+operator of ``simhash`` links fingerprints within ``DISTANCE`` bits through
+their one-wildcard segment keys; what it connects is a cell, and within a cell
+the sets themselves are compared, every one with every other, so every link
+holds exactly.
+
+Four bits don't reach all pairs at a likeness of 0.8: about ten differ there.
+For the rest sets are also indexed under ``BANDS`` keys of ``ROWS`` least values
+each: a pair at likeness 0.8 misses all keys with a chance of (1 - 0.8^4)^24,
+about 3 in a million, and less above.  A key whose members lie in one cell has
+nothing to add; under the others the sets are compared in the same way.
+
+Cells and keys with the same members are looked at once; a walk over the
+members keeps a spanning forest of the links, and those with more than
+``chunk`` members are cut into chunks, each pair of chunks a task of its own.
 """
 
 from __future__ import annotations
@@ -21,11 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ruleloom.llm import simhash
 from ruleloom.llm.common import materialize, partitions, salted_join
 from ruleloom.llm.components import connected_components
 from ruleloom.llm.simhash import least_of_component
 
 SEED = 42
+#: Bits in which the fingerprints of a link may differ.
+DISTANCE = 4
 BANDS, ROWS = 24, 4
 #: Shingles hashed at once; texts a batch that is passed on.
 BLOCK, BATCH = 1024, 512
@@ -56,8 +67,16 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash of a set; 0 for no shingles."""
+    counts = np.zeros(simhash.BITS, np.int64)
+    for i in range(0, len(shingles), 65536):
+        counts += simhash.bit_counts(shingles[i : i + 65536])
+    return simhash.majority(counts, len(shingles))
+
+
 def shingled(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """``(k, node, bands, shingles)`` for every row; ``node`` is a hash of the set."""
+    """``(k, node, fp, bands, shingles)`` for every row; ``node`` is a hash of the set, ``fp`` its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -65,12 +84,14 @@ def shingled(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
                 batch = whole.slice(at, BATCH)
                 sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
                 nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                fps = np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64)
                 bands = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), bands, pa.array([s.tobytes() for s in sets], pa.binary())], ["k", "node", "bands", "shingles"])
+                row = [batch.column(0), pa.array(nodes), pa.array(fps), bands, pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, ["k", "node", "fp", "bands", "shingles"])
 
     keyed = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     kind = keyed.schema["k"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"k {kind}, node bigint, bands array<bigint>, shingles binary")
+    return keyed.mapInArrow(run, f"k {kind}, node bigint, fp bigint, bands array<bigint>, shingles binary")
 
 
 def links_among(nodes: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
@@ -136,11 +157,23 @@ def _scan(least: float):
     return run
 
 
+def cells(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``(node, cell)`` of all sets with shingles: ``cell`` is the least fingerprint reachable through SimHash links."""
+    sets = materialize(prints.where(F.size("bands") > 0).select("node", "fp").distinct(), "fingerprints")
+    parts = connected_components(simhash.near_links(sets.select("fp").distinct(), distance))
+    parts = parts.select(F.col("node").alias("of_fp"), "component")
+    return salted_join(sets, parts, "fp", "of_fp", "left").select("node", F.coalesce("component", "fp").alias("cell"))
+
+
 def near_links(prints: DataFrame, nodes: DataFrame, least: float = 0.8, chunk: int = 1024) -> DataFrame:
     """Links ``(a, b)`` that connect all sets at a likeness of ``least`` or more."""
     n = partitions(prints.sparkSession)
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).where("members > 1")
+    placed = materialize(nodes.select("node", "bands").join(cells(prints), "node"), "cells")
+    of_cell = lambda c: F.xxhash64(F.lit("cell"), c)
+    keyed = placed.select("node", "cell", F.explode(F.concat(F.array(of_cell("cell")), "bands")).alias("key"))
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"), F.min("cell").alias("first"), F.max("cell").alias("last"))
+    # within a cell all sets are compared: a key of one cell alone has nothing to add
+    groups = groups.where((F.col("members") > 1) & ((F.col("first") < F.col("last")) | (F.col("key") == of_cell("first"))))
     # near copies meet under many keys: one of those with the same members will do
     groups = materialize(groups.groupBy("members", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("members") / chunk).cast("int").alias("chunks")), "groups")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")

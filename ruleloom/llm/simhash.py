@@ -34,6 +34,16 @@ BITS = 64
 SHORT_RUN = 48
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of some 64-bit hashes have each bit set, the highest bit first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, total: int) -> int:
+    """The fingerprint whose bits are those that over half of ``total`` hashes have."""
+    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
+
+
 def fingerprint(text: str | None, width: int = 4) -> int:
     """The unsigned 64-bit fingerprint of one text; 0 for no words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -48,9 +58,8 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     digest = xxhash.xxh64_intdigest
     counts, total = np.zeros(BITS, np.int64), len(starts)
     for k in range(0, total, 65536):
-        hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(starts[k : k + 65536], stops[k : k + 65536], strict=True)], dtype=">u8")
-        counts += np.unpackbits(hashes.view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
+        counts += bit_counts(np.array([digest(joined[i:j], SEED) for i, j in zip(starts[k : k + 65536], stops[k : k + 65536], strict=True)], np.uint64))
+    return majority(counts, total)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:

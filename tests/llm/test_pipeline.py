@@ -163,3 +163,21 @@ def test_near_copies_at_four_fifths_go(spark):
         parts = connected_components(near_copies.near_links(prints, nodes, chunk=chunk))
         grouped = nodes.join(parts, "node").groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n")).collect()
         assert sorted((x.least, x.n) for x in grouped) == sorted((k, n) for k, n in Counter(root.values()).items() if n > 1)
+
+
+def test_near_copies_are_found_by_simhash_and_held_to_their_sets(spark):
+    words = prose(6, 400).split()
+    copy = [*words[:200], "other", *words[201:]]
+    rows = [(1, " ".join(words), "a"), (2, " ".join(copy), "a"), (3, prose(7), "a"), (4, prose(8), "a"), (5, "", "a"), (6, None, "a")]
+    prints = near_copies.shingled(documents(spark, rows))
+    prints = spark.createDataFrame(prints.collect(), prints.schema)
+    node = {r.k: r.node for r in prints.collect()}
+    # without a MinHash key the fingerprints alone lead to the pair
+    bare = prints.select("node", F.col("k").alias("rep"), F.lit(None).cast("array<bigint>").alias("none")).select("node", "rep", F.coalesce("none", F.array().cast("array<bigint>")).alias("bands"))
+    links = near_copies.near_links(prints, bare).collect()
+    assert [{r.a, r.b} for r in links] == [{node[1], node[2]}]
+    # equal fingerprints of unlike sets make no link
+    same = prints.withColumn("fp", F.lit(7).cast("bigint"))
+    assert [{r.a, r.b} for r in near_copies.near_links(same, bare).collect()] == [{node[1], node[2]}]
+    of = {r.node: r.cell for r in near_copies.cells(prints).collect()}
+    assert of[node[1]] == of[node[2]] and len(set(of.values())) == 3 and node[5] not in of
