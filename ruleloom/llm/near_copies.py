@@ -76,7 +76,11 @@ def set_fingerprint(shingles: np.ndarray) -> int:
 
 
 def shingled(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """``(k, node, fp, bands, shingles)`` for every row; ``node`` is a hash of the set, ``fp`` its SimHash."""
+    """``(k, node, fp, bands, t)`` for every row; ``node`` is a hash of the set, ``fp`` its SimHash, ``t`` the text.
+
+    The set itself stays behind: its hashes take twice the room of the text and
+    don't compress, and few sets are compared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -86,12 +90,11 @@ def shingled(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
                 nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
                 fps = np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64)
                 bands = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-                row = [batch.column(0), pa.array(nodes), pa.array(fps), bands, pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(row, ["k", "node", "fp", "bands", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(fps), bands, batch.column(1)], ["k", "node", "fp", "bands", "t"])
 
     keyed = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     kind = keyed.schema["k"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"k {kind}, node bigint, fp bigint, bands array<bigint>, shingles binary")
+    return keyed.mapInArrow(run, f"k {kind}, node bigint, fp bigint, bands array<bigint>, t string")
 
 
 def links_among(nodes: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
@@ -126,13 +129,13 @@ def links_among(nodes: np.ndarray, sets: list[np.ndarray], least: float) -> tupl
     return a, b
 
 
-def _scan(least: float):
-    def links(keys: np.ndarray, nodes: np.ndarray, sets: np.ndarray) -> pd.DataFrame:
+def _scan(least: float, width: int):
+    def links(keys: np.ndarray, nodes: np.ndarray, texts: np.ndarray) -> pd.DataFrame:
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         a, b = [], []
         for i, j in zip(starts, np.r_[starts[1:], len(keys)], strict=True):
             if j - i > 1:
-                x, y = links_among(nodes[i:j], [np.frombuffer(s, np.uint64) for s in sets[i:j]], least)
+                x, y = links_among(nodes[i:j], [shingle_set(t, width) for t in texts[i:j]], least)
                 a += x
                 b += y
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
@@ -140,15 +143,15 @@ def _scan(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         for batch in batches:
-            k, v, s = batch["key"].to_numpy(), batch["node"].to_numpy(), batch["shingles"].to_numpy()
+            k, v, t = batch["key"].to_numpy(), batch["node"].to_numpy(), batch["t"].to_numpy()
             if not len(k):
                 continue
             if held and k[-1] == held[0][0][0]:  # one run goes on over the whole batch
-                held.append((k, v, s))
+                held.append((k, v, t))
                 continue
             cut = int(np.searchsorted(k, k[-1]))
-            parts = [*held, (k[:cut], v[:cut], s[:cut])]
-            held = [(k[cut:], v[cut:], s[cut:])]
+            parts = [*held, (k[:cut], v[:cut], t[:cut])]
+            held = [(k[cut:], v[cut:], t[cut:])]
             if sum(len(p[0]) for p in parts):
                 yield links(*[np.concatenate(c) for c in zip(*parts, strict=True)])
         if held:
@@ -165,8 +168,12 @@ def cells(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return salted_join(sets, parts, "fp", "of_fp", "left").select("node", F.coalesce("component", "fp").alias("cell"))
 
 
-def near_links(prints: DataFrame, nodes: DataFrame, least: float = 0.8, chunk: int = 1024) -> DataFrame:
-    """Links ``(a, b)`` that connect all sets at a likeness of ``least`` or more."""
+def near_links(prints: DataFrame, nodes: DataFrame, least: float = 0.8, chunk: int = 1024, width: int = 5) -> DataFrame:
+    """Links ``(a, b)`` that connect all sets at a likeness of ``least`` or more.
+
+    One text of each set is exchanged; sets are made of them where they are
+    compared.
+    """
     n = partitions(prints.sparkSession)
     placed = materialize(nodes.select("node", "bands").join(cells(prints), "node"), "cells")
     of_cell = lambda c: F.xxhash64(F.lit("cell"), c)
@@ -180,10 +187,10 @@ def near_links(prints: DataFrame, nodes: DataFrame, least: float = 0.8, chunk: i
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(o, F.col("own")) * F.col("chunks") + F.greatest(o, F.col("own")))
     members = keyed.join(groups, "key").withColumn("own", own).select("node", "key", F.explode(pairs).alias("pair"))
     members = materialize(members.select("node", F.xxhash64("key", "pair").alias("key")), "members")
-    # a set comes from each task once, however many copies it has
-    sets = prints.groupBy("node").agg(F.first("shingles").alias("shingles"))
-    found = members.join(sets, "node").select("key", "node", "shingles").repartition(n, "key").sortWithinPartitions("key")
-    return found.mapInPandas(_scan(least), "a bigint, b bigint").distinct()
+    # a set's text comes from each task once, however many copies it has
+    texts = prints.groupBy("node").agg(F.first("t").alias("t"))
+    found = members.join(texts, "node").select("key", "node", "t").repartition(n, "key").sortWithinPartitions("key")
+    return found.mapInPandas(_scan(least, width), "a bigint, b bigint").distinct()
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
@@ -194,8 +201,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     and empty texts are equal to each other and to nothing else.  Null keys,
     repeated rows and empty tables are as in ``simhash.near_duplicates``.
     """
-    prints = materialize(shingled(docs, key, text, width), "shingles")
+    prints = materialize(shingled(docs, key, text, width), "prints")
     nodes = materialize(prints.groupBy("node").agg(F.min("k").alias("rep"), F.first("bands").alias("bands")), "nodes")
-    parts = connected_components(near_links(prints, nodes, least))
+    parts = connected_components(near_links(prints, nodes, least, width=width))
     of = least_of_component(nodes.select("node", "rep"), parts).withColumnRenamed("node", "of_node")
     return salted_join(prints.select("k", "node"), of, "node", "of_node").select(F.col("k").alias(key), "component_id")

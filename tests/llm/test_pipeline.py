@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
 import zlib
 from collections import Counter
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ruleloom.llm import mixing, near_copies, pii, sp_sampling, toxicity
+from ruleloom.llm.common import materialize
 from ruleloom.llm.components import connected_components
 from ruleloom.llm.queries import OP9_SQL, oracle_sql, pseudonym_key, queries
 from tests.llm.conftest import ODD_TEXTS
@@ -181,3 +183,20 @@ def test_near_copies_are_found_by_simhash_and_held_to_their_sets(spark):
     assert [{r.a, r.b} for r in near_copies.near_links(same, bare).collect()] == [{node[1], node[2]}]
     of = {r.node: r.cell for r in near_copies.cells(prints).collect()}
     assert of[node[1]] == of[node[2]] and len(set(of.values())) == 3 and node[5] not in of
+
+
+def test_near_copies_write_less_than_the_texts(spark, monkeypatch):
+    r = random.Random(9)
+    known = ["".join(r.choices("abcdefghij", k=r.randrange(3, 9))) for _ in range(60)]
+    rows = [(i, " ".join(r.choices(known, k=500)), "a") for i in range(200)]
+    written = []
+
+    def counted(df, tag):
+        out = materialize(df, tag)
+        path = out._written_to.removeprefix("file:")
+        written.append(sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path)))
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    assert near_copies.near_copies(documents(spark, rows)).count() == 200
+    assert 0 < sum(written) < sum(len(t) for _, t, _ in rows)
