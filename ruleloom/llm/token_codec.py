@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -417,9 +416,11 @@ def default_tokenizer() -> str:
 #: Different pieces that an encoder remembers before it starts afresh.
 CACHED_PIECES = 1_200_000
 #: A word and the marks behind it: a byte-level tokenizer splits between them.
-_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+_WORD_BEFORE = "^[A-Za-zÀ-ÖØ-öø-ɏ]+"
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_MARKED = _WORD_BEFORE + r"[!-&(-/:-@\[-`{-~]+$"
 #: Bytes of text that are split into pieces at once.
-AT_ONCE = 1 << 23
+AT_ONCE = 1 << 24
 
 
 class Encoder:
@@ -427,8 +428,9 @@ class Encoder:
 
     A byte-level tokenizer splits before any space that a visible character
     follows, so a text's ids are those of its space-separated pieces in turn.
-    Arrow finds the distinct pieces of some texts; new ones are encoded
-    together, many in a call, and told apart by their bytes, and remembered.
+    Arrow finds the distinct pieces of some texts and parts words from the marks
+    behind them; new ones are encoded together, many in a call, and told apart
+    by their bytes, and remembered.  A word with marks is put together anew.
     Texts with runs of white space around a space or with one of the
     tokenizer's added tokens, and tokenizers of other kinds, are encoded whole.
     """
@@ -452,11 +454,11 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """No pieces: place 0 stands for those that can't be encoded alone."""
+        """No pieces: place 0 stands for those that can't be encoded alone, place 1 for nothing."""
         self.place: dict[str, int] = {}
         self.marks: dict[str, int] = {}
         self.ids, self.start, self.size = np.zeros(1 << 20, "<u4"), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.used, self.places = 0, 1
+        self.used, self.places = 0, 2
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -492,27 +494,49 @@ class Encoder:
         self.place.update(zip(names, range(first, first + len(names)), strict=True))
 
     def _learn(self, names: list[str]) -> None:
-        """Places for new pieces; a word with marks behind it is put together from both."""
-        alone, marked, words = [], [], {}
-        for p in names:
-            if not p or p[0].isspace() or any(t in p for t in self.added):
+        """Places for new pieces."""
+        pieces, added = pa.array(names, pa.string()), np.zeros(len(names), bool)
+        for token in self.added:
+            added |= pc.match_substring(pieces, token).to_numpy(zero_copy_only=False)
+        alone = []
+        for p, whole in zip(names, added.tolist(), strict=True):
+            if whole or not p or p[0].isspace():
                 self.place[p] = 0
-            elif m := _MARKED(p):
-                marked.append((p, *m.groups()))
-                words[m[1]] = None
             else:
                 alone.append(p)
-        alone = [*dict.fromkeys([*alone, *(w for w in words if w not in self.place)])]
         if alone:
             self._encode_pieces(alone)
-        for mark in {m for _, _, m in marked} - self.marks.keys():
+
+    def _places(self, names: list[str]) -> np.ndarray:
+        """The place of each piece; new ones are learnt."""
+        place = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            new = [names[i] for i in unknown.tolist()]
+            self._learn(new)
+            place[unknown] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+        return place
+
+    def _mark(self, mark: str) -> int:
+        if mark not in self.marks:
             ids = np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, "<u4")
             self.marks[mark] = self._add(ids, np.array([len(ids)]))
-        if marked:
-            parts = np.array([(self.place[w], self.marks[m]) for _, w, m in marked], np.int64)
-            sizes = self.size[parts]
-            first = self._add(self._kept(parts.reshape(-1), sizes.reshape(-1)), sizes.sum(axis=1))
-            self.place.update(zip([p for p, _, _ in marked], range(first, first + len(marked)), strict=True))
+        return self.marks[mark]
+
+    def _parts(self, names: pa.Array) -> np.ndarray:
+        """Two places for each piece: a word and the marks behind it, or the piece and nothing."""
+        is_marked = pc.match_substring_regex(names, _MARKED)
+        for token in self.added:
+            is_marked = pc.and_not(is_marked, pc.match_substring(names, token))
+        marked = names.filter(is_marked)
+        words = pc.utf8_rtrim(marked, _MARKS)
+        marks = pc.replace_substring_regex(marked, _WORD_BEFORE, "").dictionary_encode()
+        others = pa.concat_arrays([names.filter(pc.invert(is_marked)), words]).dictionary_encode()
+        place = self._places(others.dictionary.to_numpy(zero_copy_only=False).tolist())[others.indices.to_numpy(zero_copy_only=False)]
+        here, parts = is_marked.to_numpy(zero_copy_only=False), np.ones((len(names), 2), np.int64)
+        parts[~here, 0], parts[here, 0] = np.split(place, [len(names) - len(marked)])
+        parts[here, 1] = np.array([self._mark(m) for m in marks.dictionary.to_pylist()], np.int64)[marks.indices.to_numpy(zero_copy_only=False)]
+        return parts
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -535,23 +559,23 @@ class Encoder:
         number = flat.indices.to_numpy(zero_copy_only=False)
         ends = np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))
         first = np.r_[0, ends[:-1]]
-        names = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
-        place = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
-        unknown = np.flatnonzero(place < 0).tolist()
-        new = [names[i] for i in unknown]
-        self._learn(new)
-        place[unknown] = [self.place[p] for p in new]
+        names = flat.dictionary
+        parts = self._parts(names)
         # a text with white space next to a space is encoded whole, others piece by piece
-        odd = (place == 0).astype(np.int64)
+        odd = (parts[:, 0] == 0).astype(np.int64)
         whole = np.add.reduceat(odd[number], first) > 0
-        size = self.size[place]
-        ids, start = self._kept(place, size), np.cumsum(size) - size
-        length = size[number]
-        length[first] = 0
-        stops = np.cumsum(length)
-        placed = ids[np.repeat(start[number] - stops + length, length) + np.arange(int(stops[-1]))].tobytes()
-        cut = (4 * stops[ends - 1]).tolist()
-        heads = iter(self._whole([names[i] for i in number[first[~whole]].tolist()]))
+        sizes = self.size[parts]
+        size = sizes.sum(axis=1)
+        # the ids of each piece as bytes, and none for the first piece of a text
+        stops = 4 * np.cumsum(size)
+        held = [None, pa.py_buffer(np.r_[0, stops, stops[-1]]), pa.py_buffer(self._kept(parts.reshape(-1), sizes.reshape(-1)))]
+        rows = pa.Array.from_buffers(pa.large_binary(), len(names) + 1, held)
+        at = number.copy()
+        at[first] = len(names)
+        _, offsets, placed = rows.take(pa.array(at)).buffers()
+        placed = memoryview(placed or b"")
+        cut = np.frombuffer(offsets, np.int64, len(at) + 1)[ends].tolist()
+        heads = iter(self._whole(names.take(pa.array(number[first[~whole]])).to_pylist()))
         wholes = iter(self._whole([texts[i].as_py() for i in np.flatnonzero(whole).tolist()]))
         return [next(wholes) if w else next(heads) + placed[a:b] for w, a, b in zip(whole.tolist(), [0, *cut[:-1]], cut, strict=True)]
 

@@ -303,6 +303,14 @@ def test_encoder_equals_library():
     assert e.encode(texts) == whole and e.encode(texts) == whole
 
 
+def test_encoder_remembers_words_without_their_marks():
+    e = token_codec.Encoder(token_codec.default_tokenizer())
+    texts = ["one, two. three; one. two? (three) \u00e9t\u00e9, \u00e9t\u00e9\u00e9! one's, x1, y\n, z;\n"] + [f"then word{m} word{m * 3}" for m in ".,;:!?"]
+    expected = e._whole(texts)
+    assert e.encode(texts) == expected and e.encode(texts[::-1]) == expected[::-1]
+    assert {"two", "word", "\u00e9t\u00e9\u00e9"} <= set(e.place) and not {"two.", "word!", "word!!!", "\u00e9t\u00e9,"} & set(e.place)
+
+
 @pytest.mark.parametrize("block", [16, 1 << 20])
 def test_token_ids(odd, nothing, extra, block):
     out = by_key(token_codec.token_ids(extra(odd), block_ids=block))
