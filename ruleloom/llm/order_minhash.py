@@ -73,9 +73,11 @@ def with_order_minhash(df: DataFrame, text: str, out: str, k: int = 5, slots: in
     d = d.withColumn(c("s"), F.sort_array(F.transform(w, lambda x, i: _packed(F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)]), i))))
     s = F.col(c("s"))
     again = lambda v, i: (i > 0) & (_hash_part(F.get(s, i - 1)) == _hash_part(v))
-    d = d.withColumn(c("r"), F.filter(s, lambda v, i: again(v, i)))
-    d = d.withColumn(c("f"), F.filter(s, lambda v, i: ~again(v, i)))
-    r, f = F.col(c("r")), F.col(c("f"))
+    # the first has none before it: null, which a filter takes for false
+    d = d.withColumn(c("r"), F.filter(s, lambda v, i: F.get(s, i - 1).bitwiseXOR(v) < (1 << POSITION_BITS)))
+    r = F.col(c("r"))
+    d = d.withColumn(c("f"), F.when(F.size(r) == 0, s).otherwise(F.filter(s, lambda v, i: ~again(v, i))))
+    f = F.col(c("f"))
     # start of each run of repeats: running maximum of the indices that begin one
     begins = F.transform(r, lambda v, i: F.when((i > 0) & (_hash_part(F.get(r, i - 1)) == _hash_part(v)), F.lit(0)).otherwise(i))
     steps = F.when(F.size(r) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(r).cast("double"))).cast("int"))).otherwise(F.array().cast("array<int>"))
@@ -83,7 +85,9 @@ def with_order_minhash(df: DataFrame, text: str, out: str, k: int = 5, slots: in
     numbers = F.transform(runs, lambda v, i: i - v + 2)
     number = lambda v, n: _packed(F.xxhash64(_hash_part(v), n), _position(v))
     # numbered pairs, dealt into slots: the slot is the top of the new hash
-    d = d.withColumn(c("p"), F.sort_array(F.concat(F.transform(f, lambda v: number(v, F.lit(1))), F.zip_with(r, numbers, number))))
+    # both arrays have the same length, but only what can't be null is sorted as plain longs
+    repeated = F.zip_with(r, numbers, lambda v, n: F.coalesce(number(v, n), F.lit(0).cast("bigint")))
+    d = d.withColumn(c("p"), F.sort_array(F.concat(F.transform(f, lambda v: number(v, F.lit(1))), repeated)))
     p = F.col(c("p"))
     slot = lambda v: F.shiftrightunsigned(F.shiftleft(v, 1), 32) * F.lit(slots).cast("bigint")
     slot_of = lambda v: F.shiftrightunsigned(slot(v), 32).cast("int")
@@ -111,8 +115,11 @@ def with_order_minhash(df: DataFrame, text: str, out: str, k: int = 5, slots: in
     of = lambda v: F.shiftright(v, 40).cast("int")
     ends = lambda v, i: F.coalesce(of(F.get(o, i + 1)) != of(v), F.lit(True))
     pair = lambda v, i: F.struct(of(v).alias("slot"), F.when(ends(v, i), F.xxhash64(*[F.when((i >= back) & (of(F.get(o, i - back)) == of(v)), kmer(F.get(o, i - back))) for back in range(pick - 1, -1, -1)])).alias("h"))
-    filled = F.map_from_entries(F.filter(F.transform(o, pair), lambda e: e["h"].isNotNull()))
-    sketch = let(filled, lambda m: F.transform(F.array(*[F.lit(i) for i in range(slots)]), lambda i: F.shiftright(F.try_element_at(m, i), 32).cast("int")))
+    filled = F.filter(F.transform(o, pair), lambda e: e["h"].isNotNull())
+    part = lambda h: F.shiftright(h, 32).cast("int")
+    found = lambda m: F.transform(F.array(*[F.lit(i) for i in range(slots)]), lambda i: part(F.try_element_at(m, i)))
+    # entries are in the order of slots: where none is empty they need no look-up
+    sketch = let(filled, lambda e: F.when(F.size(e) == slots, F.transform(e, lambda x: part(x["h"]))).otherwise(let(F.map_from_entries(e), found)))
     return d.withColumn(out, sketch).select(*[F.col(f"`{x}`") for x in keep], out)
 
 
