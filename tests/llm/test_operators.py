@@ -92,6 +92,23 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert a == b
 
 
+def test_toxicity_compresses_a_word_once(monkeypatch):
+    texts = ["good day to all of you", "vile awful filth and vile dirt"] * 20
+    model = toxicity.fit_model(texts, [0, 1] * 20)
+    text = " ".join(f"w{i % 7} vile" for i in range(400)) + " " + "x" * 100
+    plain, toxic = model._compressors()
+    assert model._saved_by_words(toxicity._words(text)) == [len(plain(w)) - len(toxic(w)) for w in toxicity._windows(toxicity._words(text), 1)]
+    kept, score, calls = model.__getstate__(), model.score(text), []
+    again = toxicity.Model(*kept)
+    again._compressors()
+    monkeypatch.setattr(toxicity.Model, "_compressors", lambda self: (lambda w: calls.append(w) or plain(w), toxic))
+    assert again.score(text) == score
+    assert len(calls) == 8 + 1 + -(-801 // 4)
+    # a full memory changes nothing
+    monkeypatch.setattr(toxicity, "CACHED_WORDS", 3)
+    assert again.score(text) == score and len(again._known) <= 8
+
+
 def test_toxicity_odd(spark, odd, nothing, extra):
     docs, labels = toxic_table(spark, 100)
     out = toxicity.toxicity(extra(odd), extra(labels)).collect()
