@@ -60,8 +60,6 @@ _SHIFT, _ALL = np.uint64(_BITS), np.uint64((1 << _BITS) - 1)
 _ORDER2 = 18
 #: Contexts of the weights: four confidences of order 2, sixteen states of order 1.
 _CONTEXTS = 64
-#: Change of confidence: four where the guess failed, four where it held.
-_CHANGE = np.array([0, 0, -2, -2, 1, 1, 1, 0], np.int32)
 #: Steps of an encoder's look-ups at once.
 _AHEAD = 8
 
@@ -72,7 +70,8 @@ def _order2(before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
 
 def _shares(total: np.ndarray, before: np.ndarray, bits, different, place: np.ndarray) -> np.ndarray:
     """Where a symbol's share begins in 2^bits: in proportion to the counts before it, at least one each."""
-    return before * ((1 << bits) - different) // np.maximum(total, 1) + place
+    # a quotient of such numbers is never as near to the next whole one as doubles are apart
+    return (before * ((1 << bits) - different) / np.maximum(total, 1)).astype(np.int64) + place
 
 
 def _packed(cum: np.ndarray, freq: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -135,10 +134,9 @@ class _Model:
 
     def learn(self, at: np.ndarray, guess: np.ndarray, hit: np.ndarray, ids1: np.ndarray, code: np.ndarray) -> None:
         """``ids1`` are the ids plus one, ``code`` is the context and the prediction that held."""
-        after = guess + _CHANGE[hit * np.int64(4) + (guess & 3)]
-        lost = (guess & 2) == 0
-        lost &= ~hit
-        self.second[at] = np.where(lost, ids1 << 2, after)
+        held = guess + ((guess & 3) < 3)
+        failed = np.where(guess & 2, guess - 2, ids1 << 2)
+        self.second[at] = np.where(hit, held, failed)
         self.flags += np.bincount(code, minlength=3 * _CONTEXTS)
         self.weigh()
         self.seen += len(at)
@@ -150,10 +148,12 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
-def _lanes(n: int, lanes: int) -> np.ndarray:
-    """Start of each lane; the first lanes are one longer if it doesn't come out even."""
-    each, more = divmod(n, lanes)
-    return np.arange(lanes) * each + np.minimum(np.arange(lanes), more)
+def _cut(ids: np.ndarray, lanes: int) -> list[tuple[slice, slice, np.ndarray]]:
+    """(steps, lanes, their ids by lane) in two parts: the first lanes are one longer if it doesn't come out even."""
+    each, more = divmod(len(ids), lanes)
+    longer = more * (each + 1)
+    first = [(slice(0, each + 1), slice(0, more), ids[:longer].reshape(more, each + 1))] if more else []
+    return [*first, (slice(0, each), slice(more, lanes), ids[longer:].reshape(lanes - more, each))]
 
 
 def _settled(low: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -175,12 +175,18 @@ def _shifted(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _numbered_pairs(before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of each pair in ascending order, first and second id of each different pair)."""
-    both = before.astype(np.uint64) << np.uint64(48) | ids.astype(np.uint64) << np.uint64(32) | np.arange(len(ids), dtype=np.uint64)
+    both = np.empty((len(ids), 2), "<u4")  # the place below, the pair above
+    both[:, 0] = np.arange(len(ids), dtype=np.uint32)
+    both[:, 1] = before << np.uint32(16) | ids
+    both = both.reshape(-1).view("<u8")
     both.sort()
-    pairs = (both >> np.uint64(32)).astype(np.uint32)
-    first = np.r_[True, pairs[1:] != pairs[:-1]]
+    both = both.view("<u4")
+    pairs = both[1::2].copy()
+    first = np.empty(len(ids), bool)
+    first[:1] = True
+    np.not_equal(pairs[1:], pairs[:-1], out=first[1:])
     number = np.empty(len(ids), np.int32)
-    number[both.astype(np.uint32)] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    number[both[::2].astype(np.intp)] = np.cumsum(first, dtype=np.int32) - np.int32(1)
     pairs = pairs[first].astype(np.int64)
     return number, pairs >> 16, pairs & 0xFFFF
 
@@ -189,12 +195,10 @@ def compress(ids: np.ndarray, size: int) -> tuple[int, np.ndarray, np.ndarray]:
     """(lanes, words of each lane, all words by lane) of ids below ``size``."""
     n = len(ids)
     lanes, steps = _shape(n)
-    start = _lanes(n, lanes)
     full = n - lanes * (steps - 1)  # lanes that take the last step
     table = np.zeros((steps + 2, lanes), np.uint32)
-    for t in range(steps - 1):
-        table[t + 2] = ids[start + t]
-    table[steps + 1, :full] = ids[start[:full] + steps - 1]
+    for step, lane, part in _cut(ids, lanes):
+        table[2:][step, lane] = part.T
     pair, row, second = _numbered_pairs(table[1:-1].reshape(-1)[:n], table[2:].reshape(-1)[:n])
     pair = np.r_[pair, np.zeros(lanes * steps - n, np.int32)].reshape(steps, lanes)
     count = np.zeros(len(row), np.int64)
@@ -205,13 +209,14 @@ def compress(ids: np.ndarray, size: int) -> tuple[int, np.ndarray, np.ndarray]:
     t = counted = 0
     while t < steps:
         ahead = min(steps - t, _AHEAD, -(-(model.next - model.seen) // lanes))
-        x, before1 = table[t + 2 : t + ahead + 2], table[t + 1 : t + ahead + 1]
-        at, x1, p = _order2(table[t : t + ahead], before1), x.astype(np.int32) + np.int32(1), pair[t : t + ahead]
+        # an index of another type is cast bit by bit, more slowly
+        x, before1 = table[t + 2 : t + ahead + 2].astype(np.intp), table[t + 1 : t + ahead + 1]
+        at, x1, p = _order2(table[t : t + ahead], before1), x.astype(np.int32) + np.int32(1), pair[t : t + ahead].astype(np.intp)
         share = share1[p]
         known = share > _NONE
         share = np.where(known, share, model.share0[x])
         cum, freq = _cum(share), _freq(share)
-        flag, state = np.where(known, _CONTEXTS, 2 * _CONTEXTS), model.state[before1]
+        flag, state = np.where(known, _CONTEXTS, 2 * _CONTEXTS), model.state[before1.astype(np.intp)]
         for j in range(ahead):
             now = slice(0, lanes if t + j < steps - 1 else full)
             where, c, f = at[j, now], cum[j, now], freq[j, now]
@@ -286,7 +291,6 @@ class _Pairs:
 def expand(n: int, size: int, lanes: int, lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The ids that ``compress`` was given."""
     steps = -(-n // lanes)
-    start = _lanes(n, lanes)
     full = n - lanes * (steps - 1)
     model, pairs = _Model(size), _Pairs(size)
     slot0 = np.repeat(np.arange(size, dtype=np.uint16), np.diff(model.edges))
@@ -300,8 +304,8 @@ def expand(n: int, size: int, lanes: int, lengths: np.ndarray, words: np.ndarray
     counted = 0
     for t in range(steps):
         now = slice(0, lanes if t < steps - 1 else full)
-        before1 = table[t + 1, now]
-        where = _order2(table[t, now], before1)
+        where = _order2(table[t, now], table[t + 1, now])
+        before1 = table[t + 1, now].astype(np.intp)
         guess = model.second[where]
         context = model.state[before1] + (guess & 3)
         r = width[now] >> _SHIFT
@@ -352,9 +356,8 @@ def expand(n: int, size: int, lanes: int, lengths: np.ndarray, words: np.ndarray
             pairs.add(table[counted + 1 : t + 2].reshape(-1), new, model)
             counted = t + 1
     out = np.zeros(n, np.uint32)
-    for t in range(steps):
-        k = lanes if t < steps - 1 else full
-        out[start[:k] + t] = table[t + 2, :k]
+    for step, lane, part in _cut(out, lanes):
+        part[:] = table[2:][step, lane].T
     return out
 
 
@@ -364,7 +367,7 @@ def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         symbols = np.flatnonzero(np.bincount(ids))
         number = np.zeros(int(symbols[-1]) + 1, np.uint32)
         number[symbols] = np.arange(len(symbols), dtype=np.uint32)
-        return symbols, number[ids]
+        return symbols, number[ids.astype(np.intp)]
     symbols, number = np.unique(ids, return_inverse=True)
     return symbols.astype(np.int64), number.astype(np.uint32)
 
@@ -419,6 +422,8 @@ CACHED_PIECES = 1_200_000
 _WORD_BEFORE = "^[A-Za-zÀ-ÖØ-öø-ɏ]+"
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _MARKED = _WORD_BEFORE + r"[!-&(-/:-@\[-`{-~]+$"
+#: The same, or a word alone, at the end of a line, and another on the next: a line's end between them stands alone.
+_BROKEN = _WORD_BEFORE + r"[!-&(-/:-@\[-`{-~]*\n" + _WORD_BEFORE[1:] + r"[!-&(-/:-@\[-`{-~]*$"
 #: Bytes of text that are split into pieces at once.
 AT_ONCE = 1 << 24
 
@@ -429,8 +434,9 @@ class Encoder:
     A byte-level tokenizer splits before any space that a visible character
     follows, so a text's ids are those of its space-separated pieces in turn.
     Arrow finds the distinct pieces of some texts and parts words from the marks
-    behind them; new ones are encoded together, many in a call, and told apart
-    by their bytes, and remembered.  A word with marks is put together anew.
+    behind them and from the next line's word; new ones are encoded together, many
+    in a call, and told apart by their bytes, and remembered.  A word with marks,
+    or two words with a line's end between them, are put together anew.
     Texts with runs of white space around a space or with one of the
     tokenizer's added tokens, and tokenizers of other kinds, are encoded whole.
     """
@@ -456,6 +462,7 @@ class Encoder:
     def _forget(self) -> None:
         """No pieces: place 0 stands for those that can't be encoded alone, place 1 for nothing."""
         self.place: dict[str, int] = {}
+        self.on_line: dict[str, int] = {}
         self.marks: dict[str, int] = {}
         self.ids, self.start, self.size = np.zeros(1 << 20, "<u4"), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
         self.used, self.places = 0, 2
@@ -481,40 +488,41 @@ class Encoder:
         stops = np.cumsum(lengths)
         return self.ids[np.repeat(self.start[places] - stops + lengths, lengths) + np.arange(int(stops[-1]) if len(stops) else 0)]
 
-    def _encode_pieces(self, names: list[str]) -> None:
-        """Encode pieces together, each with a space before it."""
+    def _encode_pieces(self, names: list[str], before: str = " ") -> int:
+        """Encode pieces together, each with a space or the end of a line before it; returns the place of the first."""
         pieces = pa.array(names, pa.string())
         sizes = pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        cuts = np.unique(np.r_[np.arange(0, len(names), 512), len(names)])
-        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pieces), " ").to_pylist()
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([" " + g for g in groups], add_special_tokens=False)])
+        cuts = np.unique(np.r_[np.arange(0, len(names), 64), len(names)])
+        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pieces), before).to_pylist()
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([before + g for g in groups], add_special_tokens=False)])
         # a piece ends with the token that ends at its last byte
         ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes), "left") + 1
         first = self._add(ids, np.diff(ends, prepend=0))
-        self.place.update(zip(names, range(first, first + len(names)), strict=True))
+        return first
 
-    def _learn(self, names: list[str]) -> None:
-        """Places for new pieces."""
+    def _learn(self, names: list[str], before: str) -> np.ndarray:
+        """Places for new pieces, each of them once."""
         pieces, added = pa.array(names, pa.string()), np.zeros(len(names), bool)
         for token in self.added:
             added |= pc.match_substring(pieces, token).to_numpy(zero_copy_only=False)
-        alone = []
-        for p, whole in zip(names, added.tolist(), strict=True):
-            if whole or not p or p[0].isspace():
-                self.place[p] = 0
-            else:
-                alone.append(p)
+        heads = pc.utf8_slice_codeunits(pieces, 0, 1).dictionary_encode()
+        spaces = np.array([not c or c.isspace() for c in heads.dictionary.to_pylist()])
+        added |= spaces[heads.indices.to_numpy(zero_copy_only=False)]
+        place = np.zeros(len(names), np.int64)
+        alone = names if not added.any() else [names[i] for i in np.flatnonzero(~added).tolist()]
         if alone:
-            self._encode_pieces(alone)
+            place[~added] = self._encode_pieces(alone, before) + np.arange(len(alone))
+        return place
 
-    def _places(self, names: list[str]) -> np.ndarray:
+    def _places(self, names: list[str], before: str = " ") -> np.ndarray:
         """The place of each piece; new ones are learnt."""
-        place = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+        known = self.place if before == " " else self.on_line
+        place = np.fromiter(map(known.get, names, repeat(-1)), np.int64, len(names))
         unknown = np.flatnonzero(place < 0)
         if len(unknown):
             new = [names[i] for i in unknown.tolist()]
-            self._learn(new)
-            place[unknown] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+            place[unknown] = learnt = self._learn(new, before)
+            known.update(zip(new, learnt.tolist(), strict=True))
         return place
 
     def _mark(self, mark: str) -> int:
@@ -523,19 +531,33 @@ class Encoder:
             self.marks[mark] = self._add(ids, np.array([len(ids)]))
         return self.marks[mark]
 
+    def _marks(self, marks: pa.Array) -> np.ndarray:
+        """The places of runs of marks; an empty run is nothing."""
+        marks = marks.dictionary_encode()
+        return np.array([self._mark(m) if m else 1 for m in marks.dictionary.to_pylist()], np.int64)[marks.indices.to_numpy(zero_copy_only=False)]
+
     def _parts(self, names: pa.Array) -> np.ndarray:
-        """Two places for each piece: a word and the marks behind it, or the piece and nothing."""
-        is_marked = pc.match_substring_regex(names, _MARKED)
+        """Four places for each piece: a word, the marks behind it, a word on the next line, the marks behind that; or the piece and nothing."""
+        is_marked, has_line = pc.match_substring_regex(names, _MARKED), pc.match_substring(names, "\n")
+        is_broken = pc.replace_with_mask(has_line, has_line, pc.match_substring_regex(names.filter(has_line), _BROKEN))
         for token in self.added:
-            is_marked = pc.and_not(is_marked, pc.match_substring(names, token))
-        marked = names.filter(is_marked)
-        words = pc.utf8_rtrim(marked, _MARKS)
-        marks = pc.replace_substring_regex(marked, _WORD_BEFORE, "").dictionary_encode()
-        others = pa.concat_arrays([names.filter(pc.invert(is_marked)), words]).dictionary_encode()
-        place = self._places(others.dictionary.to_numpy(zero_copy_only=False).tolist())[others.indices.to_numpy(zero_copy_only=False)]
-        here, parts = is_marked.to_numpy(zero_copy_only=False), np.ones((len(names), 2), np.int64)
-        parts[~here, 0], parts[here, 0] = np.split(place, [len(names) - len(marked)])
-        parts[here, 1] = np.array([self._mark(m) for m in marks.dictionary.to_pylist()], np.int64)[marks.indices.to_numpy(zero_copy_only=False)]
+            has_added = pc.match_substring(names, token)
+            is_marked, is_broken = pc.and_not(is_marked, has_added), pc.and_not(is_broken, has_added)
+        marked, broken = names.filter(is_marked), pc.split_pattern(names.filter(is_broken), "\n")
+        above, below = pc.list_element(broken, 0), pc.list_element(broken, 1)
+        ends = pa.concat_arrays([marked, above])
+        others = pa.concat_arrays([names.filter(pc.invert(pc.or_(is_marked, is_broken))), pc.utf8_rtrim(ends, _MARKS)]).dictionary_encode()
+        lines = pc.utf8_rtrim(below, _MARKS).dictionary_encode()
+        place = self._places(others.dictionary.to_pylist())[others.indices.to_numpy(zero_copy_only=False)]
+        marked_at, broken_at = np.flatnonzero(is_marked.to_numpy(zero_copy_only=False)), np.flatnonzero(is_broken.to_numpy(zero_copy_only=False))
+        parts, alone = np.ones((len(names), 4), np.int64), np.ones(len(names), bool)
+        cut = np.concatenate((marked_at, broken_at))
+        alone[cut] = False
+        parts[np.concatenate((np.flatnonzero(alone), cut)), 0] = place
+        parts[cut, 1] = self._marks(pc.replace_substring_regex(ends, _WORD_BEFORE, ""))
+        if len(broken_at):
+            parts[broken_at, 2] = self._places(lines.dictionary.to_pylist(), "\n")[lines.indices.to_numpy(zero_copy_only=False)]
+            parts[broken_at, 3] = self._marks(pc.replace_substring_regex(below, _WORD_BEFORE, ""))
         return parts
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
@@ -562,7 +584,7 @@ class Encoder:
         names = flat.dictionary
         parts = self._parts(names)
         # a text with white space next to a space is encoded whole, others piece by piece
-        odd = (parts[:, 0] == 0).astype(np.int64)
+        odd = (parts == 0).any(axis=1).astype(np.int64)
         whole = np.add.reduceat(odd[number], first) > 0
         sizes = self.size[parts]
         size = sizes.sum(axis=1)

@@ -92,6 +92,19 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert a == b
 
 
+def test_words_at_line_ends_are_learnt_apart():
+    encoder = token_codec.Encoder(token_codec.default_tokenizer())
+    words = [a + b + c for a in "kmtv" for b in "aeé" for c in ("ns", "rl", "ßt")]
+    ends = ["", ".", ",\"", "!?"]
+    texts = [" ".join(f"{w}{ends[(i + j) % 4]}\n{v.title()}{ends[j % 4]}" for j, v in enumerate(words)) for i, w in enumerate(words)]
+    texts += [f"a{x}B c{x}D{y} e{x}f.\nG" for x in ("\n", "\n\n", ".\n\n", "\n.", "\r\n", "\t\n", "'s\n", "\n's", "1\n", "\n2", "<|endoftext|>\n", "\n<|endoftext|>") for y in ("", ".", "\n", ".\n", "'t", " ", "\n ")]
+    texts += ["", "\n", "x\n", "\nx y", "Ä.\nÖ", "one.\nTwo three.\nFour.\nFive six"]
+    whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == whole
+    assert encoder.places < 400  # each of 36 words with each of them, at four ends: more than a thousand pieces
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts[::-1])] == whole[::-1]
+
+
 def test_toxicity_compresses_a_word_once(monkeypatch):
     texts = ["good day to all of you", "vile awful filth and vile dirt"] * 20
     model = toxicity.fit_model(texts, [0, 1] * 20)
